@@ -6,8 +6,10 @@ far as their elements do. Bands of registers make the candidates; the share of e
 that agree by chance, estimates their similarity; candidates near or above the threshold are verified on the full sets.
 
 Texts with equal sets form a class, of which only the smallest id is compared. In each band's bucket the members are
-first compared with the smallest id. Only members of one bucket that are still in different components are compared with
-each other, and of these only pairs that the triangle inequality for the distances to the smallest id allows.
+first compared with the smallest id, then with members of its largest component. Only members of one bucket that are
+still in different components are compared with each other, and of these only pairs that the triangle inequality for
+the distances to the smallest id allows. So every pair that shares a bucket is linked through others, or compared, or
+known to be too far apart.
 
 Null texts, and texts without words, have no shingles and link with nothing. Rows that repeat an id count as one node.
 Rows without an id join a group's other rows but can't be its smallest. Empty tables give empty results.
@@ -31,6 +33,8 @@ MANTISSA, ROUNDS, EXPONENTS = 10, 40, 64
 ROUND_SALT = U(0xA0761D6478BD642F)
 #: Standard errors of the estimate below the threshold at which candidates are still verified.
 MARGIN = 5.0
+#: Rounds of further pivots before all pairs that are left in a bucket are compared.
+TURNS = 1
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -146,25 +150,45 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     held = buckets.agg(F.sum("size")).first()[0] or 0
     members = stored(join_grouped(rows, buckets, "key", "size", held))
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    first = tested(stored(pairs), reps, docs, words, percent)
-    edges = first.filter("linked").select("a", "b")
-    found = stored(components(edges))
-
-    # members of one bucket in different components
-    distances = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "near", "far")
-    known = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = stored(known.join(apart, "key", "left_semi").join(distances, ["pivot", "id"], "left").select("key", "pivot", "id", "n", "component", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    x, y, most = open_.filter("id <> pivot").alias("x"), open_.filter("id <> pivot").alias("y"), 1 - percent / 100 + 1e-9
+    done = [tested(stored(pairs), reps, docs, words, percent)]
+    first = done[0].select(F.col("a").alias("pivot"), F.col("b").alias("id"), "near", "far")
+    members = stored(members.join(first, ["pivot", "id"], "left").select("key", "id", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
+    found, total = stored(components(done[0].filter("linked"))), members.count()
+
+    # members of one bucket that are in different components: more pivots, then all pairs that are left
+    for turn in range(TURNS + 1):
+        known = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        apart = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(turn))).alias("some"))
+        apart = apart.groupBy("key").agg(F.sum("size").alias("size"), F.sum(F.col("size").cast("double") ** 2).alias("within"), F.max_by(F.struct("component", "some.*"), F.struct("size", "component")).alias("pivot")).filter("size * size > within")
+        apart = stored(apart.select("key", "size", ((F.col("size") ** 2 - F.col("within")) / 2).alias("pairs"), F.col("pivot.component").alias("held"), F.col("pivot.id").alias("a"), F.col("pivot.n").alias("n_a")))
+        left, held = apart.agg(F.sum("pairs"), F.sum("size")).first()
+        if not left:
+            return found
+        open_ = stored(join_grouped(known, apart, "key", "size", held))
+        if turn == TURNS or left <= total:
+            pairs = open_pairs(open_, percent)
+        else:
+            pairs = open_.filter("component <> held").select("a", F.col("id").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+        for one in done:
+            pairs = pairs.join(one.select("a", "b"), ["a", "b"], "left_anti")
+        done.append(tested(stored(pairs.distinct()), reps, docs, words, percent))
+        stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        found = stored(components(stars.unionByName(done[-1].filter("linked").select("a", "b"))))
+        if turn == TURNS or left <= total:
+            return found
+
+
+def open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """a, b, n_a, n_b: pairs of one bucket's members (key, id, n, component, near, far) in different components that may link."""
+    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    rows = stored(members.select("key", "id", "n", "component", "near", "far").join(keys, "id"))
+    x, y, most = rows.alias("x"), rows.alias("y"), 1 - percent / 100 + 1e-9
     fits = (F.col("x.near") - F.col("y.far") <= most) & (F.col("y.near") - F.col("x.far") <= most)
-    sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sizes & fits)
-    rest = stored(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct())
-    rest = stored(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    more = tested(rest, reps, docs, words, percent).filter("linked").select("a", "b")
-    if more.isEmpty():
-        return found
-    return components(edges.unionByName(more))
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    once = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # in one of the buckets that both are in
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sizes & fits & once)
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
