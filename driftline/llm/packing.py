@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, stored
 
-CACHE = 300_000
+CACHE = 800_000
 #: Characters of texts whose letter runs are looked up by themselves: ASCII and the precomposed letters of Latin-1.
 LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xff]*")

@@ -11,8 +11,6 @@ is as the empty text, which is one chunk of zeros; if no label is usable, every
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -175,13 +173,10 @@ def keep_good(docs: DataFrame, network: Network | None, least: float, text_col:
     """The rows of docs whose score is at least least."""
 
     @F.pandas_udf("double")
-    def scored(texts: Iterator) -> Iterator:
+    def scored(texts):
         import pandas as pd
 
-        for part in texts:
-            out = []
-            for at in range(0, len(part), 256):
-                out.append(score_batch(network, pa.array(part.iloc[at : at + 256], pa.string())))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        parts = [score_batch(network, pa.array(texts.iloc[at : at + 256], pa.string())) for at in range(0, len(texts), 256)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.filter(scored(F.coalesce(F.col(text_col), F.lit(""))) >= least)
