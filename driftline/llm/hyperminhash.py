@@ -8,8 +8,9 @@ that agree by chance, estimates their similarity; candidates near or above the t
 Texts with equal sets form a class, of which only the smallest id is compared. In each band's bucket the members are
 first compared with the smallest id, then with members of its largest component. Only members of one bucket that are
 still in different components are compared with each other, and of these only pairs that the triangle inequality for
-the distances to the smallest id allows. So every pair that shares a bucket is linked through others, or compared, or
-known to be too far apart.
+the distances to the smallest id allows, and that share rare elements among those in which they differ from it: two
+sets that don't both link with it can only link if their differences from it have enough in common. So every pair that
+shares a bucket is linked through others, or compared, or known to be too far apart.
 
 Null texts, and texts without words, have no shingles and link with nothing. Rows that repeat an id count as one node.
 Rows without an id join a group's other rows but can't be its smallest. Empty tables give empty results.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_grouped, map_slices, stored
@@ -152,7 +153,7 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n").alias("n_b")).distinct()
     done = [tested(stored(pairs), reps, docs, words, percent)]
     first = done[0].select(F.col("a").alias("pivot"), F.col("b").alias("id"), "near", "far")
-    members = stored(members.join(first, ["pivot", "id"], "left").select("key", "id", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
+    members = stored(members.join(first, ["pivot", "id"], "left").select("key", "pivot", "n_pivot", "id", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
     found, total = stored(components(done[0].filter("linked"))), members.count()
 
     # members of one bucket that are in different components: more pivots, then all pairs that are left
@@ -166,7 +167,8 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
             return found
         open_ = stored(join_grouped(known, apart, "key", "size", held))
         if turn == TURNS or left <= total:
-            pairs = open_pairs(open_, percent)
+            own = open_.select("pivot", "n_pivot", "id", "n", "component", "near", "far").distinct()
+            pairs = open_pairs(own, docs, words, percent)
         else:
             pairs = open_.filter("component <> held").select("a", F.col("id").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
@@ -179,16 +181,56 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
             return found
 
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b, n_a, n_b: pairs of one bucket's members (key, id, n, component, near, far) in different components that may link."""
-    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band
-    rows = stored(members.select("key", "id", "n", "component", "near", "far").join(keys, "id"))
-    x, y, most = rows.alias("x"), rows.alias("y"), 1 - percent / 100 + 1e-9
+def deltas(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of members (pivot, n_pivot, id, n, ...): linked (with the pivot), keys (of the elements in which the two sets differ).
+
+    joint and apart are how many keys it must share to link with a set that is not, or is, linked with the pivot.
+    """
+    g = (100 - percent) / (100 + percent)  # sets link if they differ in at most this share of the sum of their sizes
+    ids = members.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
+    texts = stored(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    pairs = members.select("pivot", "id", "n", "n_pivot").join(texts, "id").join(texts.toDF("pivot", "text_pivot"), "pivot")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        linked, keys, joint, apart = [], [], [], []
+        sets = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True)
+        for pivot, x, first in sets:
+            differ = np.setxor1d(x, first, assume_unique=True)
+            extra, least = len(differ) - g * len(x), g * len(first)
+            linked.append(extra <= least + 1e-9)
+            keys.append(mix(differ ^ mix(np.array([pivot], np.int64).view(U))).view(np.int64))
+            joint.append(max(1, int(np.ceil((extra + least) / 2 - 1e-6))))
+            apart.append(joint[-1] if linked[-1] else max(1, int(np.ceil((extra - least) / (1 + g) - 1e-6))))
+        arrays = [pa.array(linked), pa.array(keys, pa.list_(pa.int64())), pa.array(joint, pa.int64()), pa.array(apart, pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["pivot", "id", "linked", "keys", "joint", "apart"])
+
+    found = map_slices(pairs.select("pivot", "id", "text", "text_pivot"), work, "pivot long, id long, linked boolean, keys array<long>, joint long, apart long")
+    return stored(members.join(found, ["pivot", "id"]))
+
+
+def open_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, n_a, n_b: pairs of members (pivot, n_pivot, id, n, component, near, far) of one pivot that may still link.
+
+    Sets of which one at least isn't linked with their pivot can only link if they share a number of the elements in
+    which they differ from it. So each keeps but its rarest differing elements, as many as any partner must meet.
+    """
+    rows = deltas(members, docs, words, percent)
+    each = rows.select(F.explode("keys").alias("key"), "pivot", "id")
+    counts = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    shared = stored(join_grouped(each, counts, "key", "held", each.count()))
+    # elements that no other set has come first in the order and meet nothing, so only their number counts
+    order = shared.select("pivot", "id", "key", F.row_number().over(Window.partitionBy("pivot", "id").orderBy("held", "key")).alias("place"))
+    lone = shared.groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("known"))
+    bounds = rows.withColumn("total", F.size("keys")).drop("keys", "n_pivot").join(lone, ["pivot", "id"])
+    first = order.join(bounds, ["pivot", "id"]).withColumn("last", F.col("known") - F.col("place") + 1)  # it and the elements after it
+    first = stored(first.filter("last >= apart").select("key", "id", "n", "component", "near", "far", "linked", (F.col("last") >= F.col("joint")).alias("strict")))
+    x, y, most = first.filter("NOT linked").alias("x"), first.alias("y"), 1 - percent / 100 + 1e-9
     fits = (F.col("x.near") - F.col("y.far") <= most) & (F.col("y.near") - F.col("x.far") <= most)
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    once = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # in one of the buckets that both are in
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sizes & fits & once)
-    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    kinds = F.col("y.linked") | (F.col("x.strict") & F.col("y.strict") & (F.col("x.id") < F.col("y.id")))
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & kinds & sizes & fits)
+    a, b = F.struct("x.id", "x.n"), F.struct("y.id", "y.n")
+    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select("a.id", "b.id", "a.n", "b.n").toDF("a", "b", "n_a", "n_b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
