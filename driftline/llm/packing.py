@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,54 +33,131 @@ CACHE = 800_000
 #: Characters of texts whose letter runs are looked up by themselves: ASCII and the precomposed letters of Latin-1.
 LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xff]*")
-#: A letter run ends before anything else; a run of other characters may bind the letters after its last apostrophe.
-BITS = re.compile(rf"[{LETTERS}]+|[^{LETTERS}]+(?:(?<=')[{LETTERS}]+)?")
-WORDS = re.compile(r"[^ \t\n]+")
+RUN = re.compile(rf"[{LETTERS}]+")
+#: Bytes by kind: white space that parts words, letters, others that stand for themselves; lower case of the letters.
+BYTES = np.arange(256, dtype=np.uint8)
+SPACE, PLAIN = np.isin(BYTES, [9, 10, 32]), (BYTES >= 0x21) & (BYTES <= 0x7E)
+UPPER = (BYTES >= 65) & (BYTES <= 90)
+LETTER = UPPER | (BYTES >= 97) & (BYTES <= 122)
+LOWER = np.where(UPPER, BYTES + 32, BYTES)
+#: Bytes of a long text that are split at a time; a block ends between words.
+BLOCK = 1 << 21
 #: Pieces of one shard, and so of one task, about.
 SHARD_ROWS = 500_000
 
 
+def units(data: np.ndarray, starts: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """What is looked up of adjacent texts in UTF-8, and the number of each text's first unit.
+
+    Units are runs of letters and runs of other characters, which bind the letters after their last apostrophe, in lower
+    case. Words with special tokens or characters outside Latin-1 are left as they are, as one unit each.
+    """
+    before, after = np.append(np.uint8(0), data[:-1]), np.append(data[1:], np.uint8(0))
+    two = (data == 0xC3) | (data == 0xC2) & (after >= 0xA1)  # first bytes of Latin-1's upper half
+    letter_two = (data == 0xC3) & (after != 0x97) & (after != 0xB7) | (data == 0xC2) & ((after == 0xAA) | (after == 0xB5) | (after == 0xBA))
+    space = SPACE[data]
+    letter = LETTER[data] | letter_two | np.append(False, letter_two[:-1])
+    odd = ~(space | PLAIN[data] | two | np.append(False, two[:-1])) | (data == ord("<")) & (after == ord("|"))
+    low = LOWER[data] + np.uint8(32) * ((before == 0xC3) & (data <= 0x9E) & (data != 0x97))
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    word = ~space & (first[:-1] | SPACE[before])
+    last_letter = np.append(False, letter[:-1])
+    cut = np.where(letter, ~last_letter & (before != ord("'")), last_letter) & ~space
+    if odd.any():
+        number = np.cumsum(word) - 1
+        whole = np.zeros(number[-1] + 1, bool)
+        whole[number[odd]] = True
+        whole = whole[number]
+        low, cut = np.where(whole, data, low), cut & ~whole
+    begin, kept = np.flatnonzero(word | cut), ~space
+    offsets = np.append(np.cumsum(kept)[begin] - 1, kept.sum()).astype(np.int32)
+    made = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(low[kept])])
+    return made, np.searchsorted(begin, starts)
+
+
+def blocks(data: np.ndarray) -> Iterator[np.ndarray]:
+    """One text in parts that end after white space."""
+    at = 0
+    while at < len(data):
+        to = min(at + BLOCK, len(data))
+        while to < len(data) and not len(gap := np.flatnonzero(SPACE[data[to - BLOCK : to]])):
+            to = min(to + BLOCK, len(data))
+        end = to if to == len(data) else to - BLOCK + int(gap[-1]) + 1
+        yield data[at:end]
+        at = end
+
+
 class Words:
-    """Ids of texts by the tokenizers library, looked up word by word.
+    """Ids of texts by the tokenizers library, looked up by parts of words.
 
-    The tokenizer drops white space and its merges stay inside words, so words can be encoded each by itself.
+    The tokenizer drops white space and its merges stay inside runs of letters, so these can be encoded each by itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.bits = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)  # ids that end a run
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        """Puts words into the cache; the letter runs and such of simple words are encoded together, as one text."""
-        split = {}
-        for word in new:
-            if "<|" in word or not SIMPLE.fullmatch(word):  # special tokens and other characters: the word as a whole
-                self.words[word] = self.ids(word)
+    def learn(self, new: list[bytes]) -> None:
+        """Puts units into the cache; those of simple characters are encoded together, as one text."""
+        runs, simple = [], []
+        for unit, text in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
+            if RUN.fullmatch(text):
+                runs.append(unit)
+            elif "<|" in text or not SIMPLE.fullmatch(text):
+                self.known[unit] = self.ids(text)
             else:
-                split[word] = BITS.findall(word.lower())
-        bits = list({bit for own in split.values() for bit in own} - self.bits.keys())
-        for at in range(0, len(bits), 2000):
-            part = bits[at : at + 2000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            first = np.concatenate([[0], np.cumsum([len(bit) + 1 for bit in part])])
-            ends = np.searchsorted([start for start, _ in found.offsets], first)
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.bits.update((bit, ids[4 * a : 4 * b]) for bit, a, b in zip(part, ends, ends[1:], strict=False))
-        get = self.bits.__getitem__
-        self.words.update((word, b"".join(map(get, own))) for word, own in split.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.words, self.bits):
-            if len(cache) >= CACHE:
-                cache.clear()
-        found = [WORDS.findall(text) for text in texts]
-        self.learn(set().union(*found) - self.words.keys())
-        return [b"".join(map(self.words.__getitem__, own)) for own in found]
+                simple.append(unit)
+        for own, ended in ((runs, True), (simple, False)):
+            for at in range(0, len(own), 2000):
+                part = own[at : at + 2000]
+                joined = b" ".join(part).decode()
+                if ended:  # a run of letters ends with the only id in it that can end one
+                    found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+                    ids = np.array(found.ids, "<u4")
+                    ends = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+                    assert len(ends) == len(part) + 1 and ends[-1] == len(ids)
+                else:
+                    found = self.tokenizer.encode(joined, add_special_tokens=False)
+                    ids = np.array(found.ids, "<u4")
+                    ends = np.searchsorted([start for start, _ in found.offsets], np.cumsum([0, *(len(unit.decode()) + 1 for unit in part)]))
+                data, ends = ids.tobytes(), (4 * ends).tolist()
+                self.known.update((unit, data[a:b]) for unit, a, b in zip(part, ends, ends[1:], strict=False))
+
+    def block(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Ids of adjacent texts."""
+        if not len(data):
+            return [b""] * len(starts)
+        made, first = units(data, starts)
+        coded = made.dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        if new := [unit for unit in keys if unit not in self.known]:
+            self.learn(new)
+        found = pa.array([self.known[unit] for unit in keys], pa.binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1]
+        ids = found.buffers()[2].to_pybytes() if len(found) else b""
+        ends = ends[np.append(first, len(found))].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode(self, texts: pa.StringArray | list[str]) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return []
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        if len(texts) == 1:
+            return [b"".join(self.block(part, np.zeros(1, np.int64))[0] for part in blocks(data))]
+        return self.block(data, offsets[:-1] - offsets[0])
 
 
 @functools.lru_cache(2)
@@ -92,7 +170,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     """id, piece, start, length, ids_crc32 and, if wanted, ids of every document's pieces."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, encoded = [], words(tokenizer_path).encode([x or "" for x in batch.column(1).to_pylist()])
+        rows, encoded = [], words(tokenizer_path).encode(batch.column(1))
         for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
             ids += end_id.to_bytes(4, "little")
             for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
