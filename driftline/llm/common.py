@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow slice that is turned into Python strings at a time; a longer text is a slice by itself.
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 21
+#: While a table is stored: few rows go to a Python worker at a time, as the JVM and the worker each hold several such
+#: batches, and small partitions are put together, as each becomes a file.
+WHILE_STORED = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 #: A key is hot when it holds at least one in HOT_SHARE rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
@@ -30,9 +33,16 @@ def scratch(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to shared storage and read again: later jobs neither repeat its work nor depend on executors that did it."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = {key: spark.conf.get(key) for key in WHILE_STORED}
+    for key, value in WHILE_STORED.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
