@@ -42,14 +42,12 @@ SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 #: Last labels that a host in spelled words must have. Fixed values.
 ENDINGS = "com|net|org|edu|gov|info|biz|io|co|eu|uk|us|de|fr|es|it|nl|ch|at"
 #: A disguise in brackets, or spelled words that lead to a known last label.
-AT = r"[\x20]*[\[({<][\x20]*(?:at|@)[\x20]*[\])}>][\x20]*"
-DOT = r"[\x20]*[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*"
+AT = r"(?:(?<!\x20)[\x20]++)?[\[({<][\x20]*(?:at|@)[\x20]*[\])}>][\x20]*"
+DOT = r"(?:(?<!\x20)[\x20]++)?[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*"
 WORD_AT = rf"(?<=[A-Za-z0-9])[\x20]at[\x20](?=(?:[A-Za-z0-9-]+(?:[\x20]dot[\x20]|\.)){{0,4}}[A-Za-z0-9-]+[\x20]dot[\x20](?:{ENDINGS})(?![A-Za-z0-9]))"
 WORD_DOT = rf"(?<=[A-Za-z0-9])[\x20]dot[\x20](?=(?:[A-Za-z0-9-]+[\x20]dot[\x20]){{0,4}}(?:{ENDINGS})(?![A-Za-z0-9]))"
 SPELLED_RUN = rf"(?<![A-Za-z])(?:{'|'.join(SPELLED)})(?:[\x20-](?:{'|'.join(SPELLED)}))++(?![A-Za-z])"
 REWRITES = re.compile(rf"(?P<at>{AT}|{WORD_AT})|(?P<dot>{DOT}|{WORD_DOT})|(?P<spelled>{SPELLED_RUN})|(?P<gone>[{INVISIBLE}])|(?P<form>[{''.join(LOOKALIKES)}{FORMS}])", re.I | re.A)
-#: What every disguise has; texts without any of it are left alone.
-HINTS = re.compile(rf"[\[({{<][\x20]*(?:at|@|dot|\.)[\x20]*[\])}}>]|[\x20]dot[\x20]|(?:{'|'.join(SPELLED)})[\x20-](?:{'|'.join(SPELLED)})[\x20-]|[{INVISIBLE}{''.join(LOOKALIKES)}{FORMS}]", re.I | re.A)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -132,9 +130,9 @@ def rewritten(text: str) -> tuple[str, list[int], list[int], list[int]]:
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans that only show in the normalised text."""
     added: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-    if not HINTS.search(text):
-        return added
     plain, starts, ends, changed = rewritten(text)
+    if not changed:
+        return added
     for kind, spans in base_spans(plain).items():
         known, at, first = base[kind], 0, 0
         for a, b in spans:

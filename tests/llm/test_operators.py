@@ -176,6 +176,16 @@ def test_pii():
         assert base["ip"] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
 
 
+def added_pii(text):
+    return pii.as_text(pii.added_spans(text, pii.base_spans(text)))
+
+
+def test_pii_needs_no_other_hint():
+    assert added_pii("card 4111 1111 1111 11 one one.") == "card:5:30" and added_pii("call +44 20 794 six zero.") == "phone:5:24"
+    for end in ("", ".", "\n", ","):
+        assert added_pii("4111 1111 1111 11 one one" + end) == "card:0:25"
+
+
 def test_quality_learns_and_covers_whole_texts(spark):
     r = random.Random(1)
     good = lambda: " ".join("".join(r.choices("abcdefghij", k=4)) for _ in range(120))
