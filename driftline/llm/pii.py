@@ -2,6 +2,7 @@
 
 The base spans are what plain patterns match. Then transducers rewrite the text: homoglyphs become the ASCII characters
 they look like, invisible characters go, spelled digits become digits, and disguised "at" and "dot" become @ and a dot.
+As a number word may or may not belong to the digits beside it, the text is read with all, some and none rewritten.
 Each rewritten character knows the source range it stands for, so what the patterns find in the rewritten text is
 mapped back to spans of the source. Such a span is added if it holds something rewritten and overlaps no base span of
 its kind. Offsets are code points, ends are exclusive.
@@ -33,21 +34,49 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[^0-9]+")
 
-#: Letters of other scripts and the ASCII letters that they look like. Fixed values.
-LOOKALIKES = dict(zip("АВСЕНІЈКМОРЅТХасеіјорѕхуΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABCEHIJKMOPSTXaceijopsxyABEZHIKMNOPTYXo", strict=True))
-INVISIBLE = "­​‌‍⁠﻿"
-#: Blocks whose characters may be compatibility forms of one ASCII character: letterlike, enclosed, full width, mathematical.
-FORMS = "℀-⅏①-⓿！-～\U0001d400-\U0001d7ff"
+#: Characters by what they look like, those of other scripts and symbols as in Unicode's table of confusables. Fixed values.
+ALIKE = {
+    "A": "ΑАᎪᗅꓮ", "B": "ΒВᏴᗷꓐꞴ", "C": "ϹСᏟⲤꓚ", "D": "Ꭰᗞᗪꓓ", "E": "ΕЕᎬ⋿ⴹꓰ", "F": "ϜᖴꓝꞘ", "G": "ԌᏀᏳꓖ", "H": "ΗНᎻᕼⲎꓧ",
+    "I": "ΙІӀⲒꓲᛁⵏ", "J": "ͿЈᎫᒍꓙ", "K": "ΚКᏦⲔᛕꓗ", "L": "ᏞᒪⳐꓡ", "M": "ΜМϺᎷᗰᛖⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳⵔዐଠ", "P": "ΡРᏢᑭⲢꓑ",
+    "Q": "ⵕ", "R": "ƦᎡᏒᖇꓣ", "S": "ЅՏᏕᏚꓢ", "T": "ΤТᎢⲦꓔ⊤⟙", "U": "Սሀᑌꓴ∪⋃", "V": "ѴᏙᐯⴸꓦ", "W": "ԜᎳᏔꓪ", "X": "ΧХⲬⵝᚷꓫꞳ╳", "Y": "ΥҮⲨᎩᎽꓬ", "Z": "ΖᏃꓜ",
+    "a": "ɑαа⍺", "b": "ƄЬᏏᑲᖯ", "c": "ϲсᴄⲥꮯ", "d": "ԁᏧᑯꓒ", "e": "еҽ℮ꬲ", "f": "ꞙꬵքẝ", "g": "ƍɡᶃց", "h": "һհᏂ", "i": "іıɩɪιӏꙇᎥꭵ⍳", "j": "јϳ", "l": "ǀƖ",
+    "n": "ոռ", "o": "οоσօჿⲟᴏᴑꬽסഠဝ", "p": "рρϱ⍴ⲣ", "q": "ԛգզ", "r": "гᴦⲅꭇꭈꮁ", "s": "ѕƽꜱꮪ", "u": "ʋυսᴜꭎꭒꞟ", "v": "νѵᴠ∨⋁טꮩ", "w": "ɯѡԝաᴡꮃ",
+    "x": "хᕁᕽ×⤫⤬⨯", "y": "уүɣʏγყỿᶌꭚ", "z": "ᴢꮓ", "0": "〇", "2": "ƧϨꙄᒿ", "3": "ЗӠƷȜꝪⳌ", "4": "Ꮞ", "5": "Ƽ", "6": "бᏮⳒ", "8": "Ȣȣ", "9": "ᏭⳊꝮ",
+    ".": "․܁܂꘎ꓸ。", "-": "‐‒–⁃˗−➖Ⲻ", "+": "᛭➕",
+}
+
+
+def lookalikes() -> dict[str, str]:
+    """Other characters and the ASCII ones that they stand for: by compatibility, as decimal digits, or by their looks."""
+    alike, out = {c: plain for plain, chars in ALIKE.items() for c in chars}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
+        form = unicodedata.normalize("NFKC", c)
+        plain = alike.get(c) or (str(n) if (n := unicodedata.decimal(c, None)) is not None else alike.get(form, form))
+        if len(plain) == 1 and plain.isascii():
+            out[c] = plain
+    return out
+
+
+LOOKALIKES = lookalikes()
+#: Characters and ranges that show nothing.
+GONE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff"
+INVISIBLE = re.compile(f"[{GONE}]")
+#: All that may be replaced; beyond the first plane a class is slow unless it is one range, so LOOKALIKES and INVISIBLE decide there.
+OTHERS = re.compile(f"[{GONE[: GONE.index(chr(0xE0000))]}{''.join(c for c in LOOKALIKES if c < chr(0x10000))}{chr(0x10000)}-{chr(0x10FFFF)}]")
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
-#: Last labels that a host in spelled words must have. Fixed values.
-ENDINGS = "com|net|org|edu|gov|info|biz|io|co|eu|uk|us|de|fr|es|it|nl|ch|at"
-#: A disguise in brackets, or spelled words that lead to a known last label.
-AT = r"(?:(?<!\x20)[\x20]++)?[\[({<][\x20]*(?:at|@)[\x20]*[\])}>][\x20]*"
-DOT = r"(?:(?<!\x20)[\x20]++)?[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*"
-WORD_AT = rf"(?<=[A-Za-z0-9])[\x20]at[\x20](?=(?:[A-Za-z0-9-]+(?:[\x20]dot[\x20]|\.)){{0,4}}[A-Za-z0-9-]+[\x20]dot[\x20](?:{ENDINGS})(?![A-Za-z0-9]))"
-WORD_DOT = rf"(?<=[A-Za-z0-9])[\x20]dot[\x20](?=(?:[A-Za-z0-9-]+[\x20]dot[\x20]){{0,4}}(?:{ENDINGS})(?![A-Za-z0-9]))"
-SPELLED_RUN = rf"(?<![A-Za-z])(?:{'|'.join(SPELLED)})(?:[\x20-](?:{'|'.join(SPELLED)}))++(?![A-Za-z])"
-REWRITES = re.compile(rf"(?P<at>{AT}|{WORD_AT})|(?P<dot>{DOT}|{WORD_DOT})|(?P<spelled>{SPELLED_RUN})|(?P<gone>[{INVISIBLE}])|(?P<form>[{''.join(LOOKALIKES)}{FORMS}])", re.I | re.A)
+WORDS = re.compile("|".join(SPELLED))
+#: What may be between the digits of one number, or of the numbers of an address.
+GAP, GAP_CHARS = re.compile(r"(?:[\x20().+-]++|dot(?![a-z]))*+"), "\x20().+-"
+BRACKETS = re.compile(r"[\[({<][\x20]*+(?:(?P<at>at|@)|dot|\.)[\x20]*+[\])}>][\x20]*+", re.I | re.A)
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+NUMBER_DOT = re.compile(r"(?<=[0-9])[\x20]dot[\x20](?=[0-9])", re.I | re.A)
+#: An at and all the labels that follow, joined by dots or spelled dots.
+HOST = re.compile(r"(?P<at>@|(?<=[A-Za-z0-9_%+-])[\x20]at[\x20])(?P<host>[A-Za-z0-9-]++(?:(?:[\x20]dot[\x20]|\.)[A-Za-z0-9-]++)++)", re.I | re.A)
+JOIN = re.compile(r"[\x20]dot[\x20]|\.", re.I | re.A)
+LAST_LABEL = re.compile(r"(?!dot(?![A-Za-z]))[A-Za-z]{2,}+(?![0-9])", re.I | re.A)
+#: After "at", these begin a phrase ("look at the dot on it") rather than a host, unless the last label is one of ENDINGS. Fixed values.
+ARTICLES = frozenset("the a an this that these those each every his her its our their my your some any".split())
+ENDINGS = frozenset("com net org edu gov info biz io co eu uk us de fr es it nl ch at ca ai jp ru au nz cn br mx kr se dk fi pl cz pt ie gr tr ua za dev app xyz online site".split())
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -93,56 +122,161 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return {kind: list(find(text)) if NEEDS[kind] is None or NEEDS[kind] in text else [] for kind, find in FINDERS.items()}
 
 
-def rewritten(text: str) -> tuple[str, list[int], list[int], list[int]]:
-    """The normalised text; for each of its characters the source range's start and end; the starts of what was rewritten."""
-    out, starts, ends, changed, at = [], [], [], [], 0
-
-    def put(chars: str, start: int, end: int) -> None:
-        out.append(chars)
-        starts.extend([start] * len(chars))
-        ends.extend([end] * len(chars))
-
-    def keep(start: int, end: int) -> None:
-        out.append(text[start:end])
-        starts.extend(range(start, end))
-        ends.extend(range(start + 1, end + 1))
-
-    for m in REWRITES.finditer(text):
-        kind, (start, end) = m.lastgroup, m.span()
-        keep(at, start)
-        if kind == "spelled":
-            for word in re.finditer("[A-Za-z]+", m[0]):
-                put(SPELLED[word[0].lower()], start + word.start(), start + word.end())
-        elif kind == "form":
-            plain = LOOKALIKES.get(m[0]) or unicodedata.normalize("NFKC", m[0])
-            if len(plain) != 1 or not plain.isascii():
-                keep(start, at := end)
+class Rewritten:
+    """A text that is edited step by step; each of its characters knows the source range it stands for."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends, self.changed = text, range(len(text)), range(1, len(text) + 1), []
+
+    def edited(self, edits: list[tuple[int, int, str]]) -> Rewritten:
+        """With the ranges of the edits, which are in order, replaced; each replacement stands for the whole range."""
+        if not edits:
+            return self
+        new, out, at = Rewritten(""), [], 0
+        new.starts, new.ends, new.changed = [], [], list(self.changed)
+        for start, end, chars in [*edits, (len(self.text), len(self.text), "")]:
+            out += [self.text[at:start], chars]
+            new.starts.extend(self.starts[at:start])
+            new.ends.extend(self.ends[at:start])
+            if end > start:
+                new.starts.extend([self.starts[start]] * len(chars))
+                new.ends.extend([self.ends[end - 1]] * len(chars))
+                new.changed.append(self.starts[start])
+            at = end
+        new.text = "".join(out)
+        return new
+
+    def stands_for_more(self, at: int) -> bool:
+        return self.ends[at] - self.starts[at] > 1
+
+
+def other_edits(text: str) -> list[tuple[int, int, str]]:
+    """Characters as those that they look like, and without those that show nothing."""
+    found = ((m.start(), m.end(), m[0]) for m in OTHERS.finditer(text))
+    return [(start, end, LOOKALIKES.get(c, "")) for start, end, c in found if c in LOOKALIKES or INVISIBLE.match(c)]
+
+
+def bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    """Ats and dots in brackets, with the spaces around them."""
+    edits, done = [], 0
+    for m in BRACKETS.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] == " ":
+            start -= 1
+        done = m.end()
+        edits.append((start, done, "@" if m["at"] else "."))
+    return edits
+
+
+def number_words(low: str) -> list[tuple[int, int]]:
+    """Spelled digits of a text in lower case that have a digit or a spelled digit beside them; any other is a number by itself."""
+    words = [m.span() for m in WORDS.finditer(low) if not ("a" <= low[m.start() - 1 : m.start()] <= "z" or "a" <= low[m.end() : m.end() + 1] <= "z")]
+    out, done, joined = [], 0, False
+    for i, (start, end) in enumerate(words):
+        after = GAP.match(low, end).end()
+        follows = i + 1 < len(words) and after == words[i + 1][0]
+        if not (near := joined or follows or low[after : after + 1] in tuple("0123456789")):
+            before = low[done:start].rstrip(GAP_CHARS)
+            while before.endswith("dot"):
+                before = before[:-3].rstrip(GAP_CHARS)
+            near = before[-1:] in tuple("0123456789")
+        if near:
+            out.append((start, end))
+        done, joined = end, follows
+    return out
+
+
+def spelled_edits(text: str, words: list[tuple[int, int]], runs: bool) -> list[tuple[int, int, str]]:
+    """Spelled digits as digits that close up with neighbours one space or hyphen away: other spelled digits, and digits if not runs.
+
+    With runs, spelled digits without a spelled neighbour stay.
+    """
+    edits = []
+    for i, (start, end) in enumerate(words):
+        before = i > 0 and words[i - 1][1] == start - 1 and text[start - 1] in " -"
+        after = i + 1 < len(words) and words[i + 1][0] == end + 1 and text[end] in " -"
+        if runs and not before and not after:
+            continue
+        if before or (not runs and start > 1 and text[start - 1] in " -" and text[start - 2] in "0123456789"):
+            edits.append((start - 1, start, ""))
+        edits.append((start, end, SPELLED[text[start:end].lower()]))
+        if not runs and text[end : end + 1] in (" ", "-") and text[end + 1 : end + 2] in tuple("0123456789"):
+            edits.append((end, end + 1, ""))
+    return edits
+
+
+def address_edits(now: Rewritten) -> list[tuple[int, int, str]]:
+    """Spelled dots between numbers; spelled ats and dots of a host that ends in a word, and of the local part before it."""
+    text = now.text
+    edits, done = {(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)}, 0
+    for m in HOST.finditer(text):
+        (at, host), end = (m.start("at"), m.start("host")), m.end()
+        joins = list(JOIN.finditer(text, host, end))
+        while joins and not LAST_LABEL.match(text, joins[-1].end(), end):
+            end = joins.pop().start()
+        spelled = [j for j in joins if len(j[0]) > 1]
+        hidden = spelled or any(now.stands_for_more(j.start()) for j in joins)
+        if m["at"] != "@":
+            last = joins and LAST_LABEL.match(text, joins[-1].end(), end)[0].lower()
+            if not hidden or (text[host : joins[0].start()].lower() in ARTICLES and last not in ENDINGS):
                 continue
-            put(plain, start, end)
-        elif kind != "gone":
-            put("@" if kind == "at" else ".", start, end)
-        changed.append(start)
-        at = end
-    keep(at, len(text))
-    return "".join(out), starts, ends, changed
+            edits.add((at, host, "@"))
+        elif not joins or not (hidden or now.stands_for_more(at)):
+            continue
+        edits.update((*j.span(), ".") for j in spelled)
+        start = at
+        while True:
+            own = start
+            while own > done and text[own - 1] in LOCAL:
+                own -= 1
+            if own == start or own - 5 <= done or text[own - 5 : own].lower() != " dot " or text[own - 6] not in LOCAL:
+                break
+            edits.add((own - 5, own, "."))
+            start = own - 5
+        done = end
+    return sorted(edits)
+
+
+def readings(text: str) -> list[Rewritten]:
+    """The normalised text with all spelled digits as digits, with only runs of them, with none; only those that differ."""
+    now = Rewritten(text)
+    if not text.isascii():
+        now = now.edited(other_edits(text))
+    brackets = bracket_edits(now.text)
+    now = now.edited(brackets)
+    low = now.text.lower()
+    if len(low) != len(now.text):
+        low = now.text.translate(LOWER)
+    words = number_words(low)
+    addresses = brackets or " dot " in low  # nothing else leads to edits of addresses
+    out: list[Rewritten] = []
+    for edits in (spelled_edits(now.text, words, False), spelled_edits(now.text, words, True), []) if words else ([],):
+        one = now.edited(edits)
+        one = one.edited(address_edits(one)) if addresses else one
+        if one.changed and all(one.text != x.text for x in out):
+            out.append(one)
+    return out
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    """Spans that only show in the normalised text."""
+    """Spans that only show in the normalised text: of the fullest reading first, of IP addresses of the plainest."""
     added: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-    plain, starts, ends, changed = rewritten(text)
-    if not changed:
-        return added
-    for kind, spans in base_spans(plain).items():
-        known, at, first = base[kind], 0, 0
-        for a, b in spans:
-            start, end = starts[a], ends[b - 1]
-            while first < len(changed) and changed[first] < start:
-                first += 1
-            while at < len(known) and known[at][1] <= start:
-                at += 1
-            if first < len(changed) and changed[first] < end and not (at < len(known) and known[at][0] < end):
-                added[kind].append((start, end))
+    read = readings(text)
+    found = [base_spans(one.text) for one in read]
+    for kind in KINDS:
+        for one, spans in list(zip(read, found, strict=True))[:: -1 if kind == "ip" else 1]:
+            if not spans[kind]:
+                continue
+            known, changed = sorted(base[kind] + added[kind]), sorted(one.changed)
+            at, first = 0, 0
+            for a, b in spans[kind]:
+                start, end = one.starts[a], one.ends[b - 1]
+                while first < len(changed) and changed[first] < start:
+                    first += 1
+                while at < len(known) and known[at][1] <= start:
+                    at += 1
+                if first < len(changed) and changed[first] < end and not (at < len(known) and known[at][0] < end):
+                    added[kind].append((start, end))
     return added
 
 

@@ -180,6 +180,31 @@ def added_pii(text):
     return pii.as_text(pii.added_spans(text, pii.base_spans(text)))
 
 
+def test_pii_disguises_of_any_host_and_number():
+    for last in ("ca", "ai", "in", "jp", "ru", "au", "dev", "app", "museum"):
+        assert added_pii(f"jane at example dot {last}") == f"email:0:{20 + len(last)}"
+    assert added_pii("jane at a dot b dot c dot d dot e dot f dot g dot ca!") == "email:0:52"
+    assert added_pii("jane dot doe at exаmple dot ca") == "email:0:30" and added_pii("bob@example dot ca") == "email:0:18"
+    assert added_pii("192 dot 168 dot 0 dot 1") == "ip:0:23" and added_pii("192 dot 168 dot 0 dot 999") == ""
+    assert added_pii("one nine two dot one six eight dot zero dot one") == "ip:0:47"
+    assert added_pii("+four 4 two 0 seven 9 four 6 zero") == "phone:0:33"
+    assert added_pii("pay one ４111 1111 1111 1111") == "card:8:27" and added_pii("at 10.0.0.１ one") == "ip:3:11"
+    assert added_pii("jո@ехɑmple.сοm") == "email:0:14" and added_pii("+٤٤ 20–7946–0958") == "phone:0:16"
+    assert added_pii("see us at example.com, look at the dot on it, at noon dot dot dot, one dot two") == ""
+
+
+@pytest.mark.parametrize("unit", [" ", "a dot ", " at a dot", "one ", "1 dot ", "x at dot dot ", "a@b dot ", "( ", "one.dot ", "(at) "])
+def test_pii_is_linear(unit):
+    import time
+
+    def seconds(n):
+        text, begin = unit * (n // len(unit)), time.process_time()
+        added_pii(text)
+        return time.process_time() - begin
+
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.02)
+
+
 def test_pii_needs_no_other_hint():
     assert added_pii("card 4111 1111 1111 11 one one.") == "card:5:30" and added_pii("call +44 20 794 six zero.") == "phone:5:24"
     for end in ("", ".", "\n", ","):
