@@ -5,19 +5,23 @@ mantissa bits. Buckets that a small set leaves empty are filled by further round
 far as their elements do. Bands of registers make the candidates; the share of equal registers, corrected for registers
 that agree by chance, estimates their similarity; candidates near or above the threshold are verified on the full sets.
 
-Texts with equal sets form a class, of which only the smallest id is compared. In each band's bucket the members are
+Texts with equal sets form a class, of which only one text is compared; classes are numbered in the order of their
+smallest ids, and below an id of a class is this number. In each band's bucket the members are
 first compared with the smallest id, then with members of its largest component. Only members of one bucket that are
 still in different components are compared with each other, and of these only pairs that the triangle inequality for
 the distances to the smallest id allows, and that share rare elements among those in which they differ from it: two
 sets that don't both link with it can only link if their differences from it have enough in common. So every pair that
 shares a bucket is linked through others, or compared, or known to be too far apart.
 
-Null texts, and texts without words, have no shingles and link with nothing. Rows that repeat an id count as one node.
-Rows without an id join a group's other rows but can't be its smallest. Empty tables give empty results.
+Null texts, and texts without words, have no shingles and link with nothing. Of rows that repeat an id
+each distinct text is compared; ids only give groups their names. Rows without an id are compared too, but can't name a
+group; a group of only such rows has no name. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -93,23 +97,35 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """id, n (size of the set), set_key (equal for equal sets), registers, bands; for an empty set the last three are null."""
+    """id, text_key, n (size of the set), set_key (equal for equal sets), registers, bands; for an empty set the last three are null."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1), words)
+        sets = shingle_sets(batch.column(2), words)
         keys = [None if not len(s) else np.array([mix(s ^ U(0x1D8E4E27C47D124F)).sum(dtype=U), mix(s ^ U(0xEB44ACCAB455D165)).sum(dtype=U)], "<u8").tobytes() for s in sets]
         regs = [registers(s) if len(s) else None for s in sets]
         full = [r for r in regs if r is not None]
         bands = iter(band_keys(np.stack(full)) if full else [])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if r is None else r.astype("<u2").tobytes() for r in regs], pa.binary()), pa.array([None if r is None else next(bands) for r in regs], pa.list_(pa.int64()))],
-            ["id", "n", "set_key", "registers", "bands"],
+            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if r is None else r.astype("<u2").tobytes() for r in regs], pa.binary()), pa.array([None if r is None else next(bands) for r in regs], pa.list_(pa.int64()))],
+            ["id", "text_key", "n", "set_key", "registers", "bands"],
         )
 
-    return map_slices(docs, work, "id long, n long, set_key binary, registers binary, bands array<long>")
+    return map_slices(docs.select("id", "text_key", "text"), work, "id long, text_key long, n long, set_key binary, registers binary, bands array<long>")
+
+
+def finder(reps: DataFrame, docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Of classes (id): id and text, stored; a class's text is that of its first row's id and text_key."""
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = stored(reps.select("id", "first", "text_key").join(ids, "id", "left_semi"))
+        rows, wanted = docs.withColumnRenamed("id", "doc"), wanted.withColumnRenamed("text_key", "first_key")
+        found = rows.join(wanted, F.col("doc").eqNullSafe(F.col("first")) & (F.col("text_key") == F.col("first_key")))
+        return stored(found.select("id", "text").dropDuplicates(["id"]))
+
+    return texts
 
 
-def tested(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def tested(pairs: DataFrame, reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
     """a, b, linked, near, far of pairs (a, b, n_a, n_b): bounds of their distance, equal where sets were compared."""
     least = percent / 100
     small = (F.least("n_a", "n_b") / F.greatest("n_a", "n_b"))
@@ -128,8 +144,7 @@ def tested(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, perce
     judged = stored(map_slices(inside, judge, "a long, b long, similarity double"))
     unlike = judged.filter(F.col("similarity") + error < least).select("a", "b", F.lit(False).alias("linked"), (1 - F.col("similarity") - error).alias("near"), F.lit(1.0).alias("far"))
     close = judged.filter(F.col("similarity") + error >= least).select("a", "b")
-    texts = docs.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    texts = stored(texts.dropDuplicates(["id"]))
+    texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     both = close.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,14 +159,14 @@ def tested(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, perce
     return stored(outside.unionByName(unlike).unionByName(verified))
 
 
-def links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, component of the classes' first documents that link with others."""
+def links(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+    """node, component of the classes that link with others."""
     rows = reps.select(F.explode("bands").alias("key"), "id", "n")
     buckets = stored(rows.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("n_pivot")), "id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first.*", "size"))
     held = buckets.agg(F.sum("size")).first()[0] or 0
     members = stored(join_grouped(rows, buckets, "key", "size", held))
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    done = [tested(stored(pairs), reps, docs, words, percent)]
+    done = [tested(stored(pairs), reps, texts_of, words, percent)]
     first = done[0].select(F.col("a").alias("pivot"), F.col("b").alias("id"), "near", "far")
     members = stored(members.join(first, ["pivot", "id"], "left").select("key", "pivot", "n_pivot", "id", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
     found, total = stored(components(done[0].filter("linked"))), members.count()
@@ -168,27 +183,27 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
         open_ = stored(join_grouped(known, apart, "key", "size", held))
         if turn == TURNS or left <= total:
             own = open_.select("pivot", "n_pivot", "id", "n", "component", "near", "far").distinct()
-            pairs = open_pairs(own, docs, words, percent)
+            pairs = open_pairs(own, texts_of, words, percent)
         else:
             pairs = open_.filter("component <> held").select("a", F.col("id").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
         for one in done:
             pairs = pairs.join(one.select("a", "b"), ["a", "b"], "left_anti")
-        done.append(tested(stored(pairs.distinct()), reps, docs, words, percent))
+        done.append(tested(stored(pairs.distinct()), reps, texts_of, words, percent))
         stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
         found = stored(components(stars.unionByName(done[-1].filter("linked").select("a", "b"))))
         if turn == TURNS or left <= total:
             return found
 
 
-def deltas(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def deltas(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
     """Of members (pivot, n_pivot, id, n, ...): linked (with the pivot), keys (of the elements in which the two sets differ).
 
     joint and apart are how many keys it must share to link with a set that is not, or is, linked with the pivot.
     """
     g = (100 - percent) / (100 + percent)  # sets link if they differ in at most this share of the sum of their sizes
     ids = members.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
-    texts = stored(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    texts = texts_of(ids)
     pairs = members.select("pivot", "id", "n", "n_pivot").join(texts, "id").join(texts.toDF("pivot", "text_pivot"), "pivot")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,13 +223,13 @@ def deltas(members: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return stored(members.join(found, ["pivot", "id"]))
 
 
-def open_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def open_pairs(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
     """a, b, n_a, n_b: pairs of members (pivot, n_pivot, id, n, component, near, far) of one pivot that may still link.
 
     Sets of which one at least isn't linked with their pivot can only link if they share a number of the elements in
     which they differ from it. So each keeps but its rarest differing elements, as many as any partner must meet.
     """
-    rows = deltas(members, docs, words, percent)
+    rows = deltas(members, texts_of, words, percent)
     each = rows.select(F.explode("keys").alias("key"), "pivot", "id")
     counts = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
     shared = stored(join_grouped(each, counts, "key", "held", each.count()))
@@ -235,13 +250,18 @@ def open_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links lead to), kept for every row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = stored(sketches(docs, words))
-    classes = stored(rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")))
-    reps = stored(rows.join(classes.select(F.col("first").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "n", "registers", "bands"))
-    groups = links(reps, docs, words, percent)
-    named = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left")
-    named = stored(named.select("set_key", "size", F.coalesce("component", "first").alias("component_id")))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("first"), "text_key")).alias("row")
+    classes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(first, F.count(F.lit(1)).alias("size")).select("set_key", "size", "row.*")
+    classes = stored(classes.orderBy("unnamed", "first", "set_key").withColumn("node", F.monotonically_increasing_id()))
+    held = classes.select("set_key", "node", "first", F.col("text_key").alias("first_key"))
+    reps = rows.join(held, "set_key").filter(F.col("id").eqNullSafe(F.col("first")) & (F.col("text_key") == F.col("first_key")))
+    reps = stored(reps.dropDuplicates(["node"]).select(F.col("node").alias("id"), "first", "text_key", "n", "registers", "bands"))
+    groups = links(reps, finder(reps, docs), words, percent)
+    names = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("name"))
+    named = classes.join(groups.join(names, "component"), "node", "left")
+    named = stored(named.select("set_key", "size", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("name")).alias("component_id")))
     small = rows.select("id", "n", "set_key")
     out = join_grouped(small.filter("set_key IS NOT NULL"), named, "set_key", "size", rows.count()).select("id", "n", "component_id")
     out = out.unionByName(small.filter("set_key IS NULL").select("id", "n", F.col("id").alias("component_id")))

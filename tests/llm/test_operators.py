@@ -59,6 +59,16 @@ def test_near_duplicates(spark, k):
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_groups(texts, k, 80)
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    r = random.Random(8)
+    a, b, c, d = (["".join(r.choices("abcdefgh", k=6)) for _ in range(60)] for _ in range(4))
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (None, " ".join(c)), (8, near(c)), (None, " ".join(d)), (None, near(d))]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    found = sorted(((x.id, x.component_id, x.kept) for x in got), key=str)
+    assert found == sorted([(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (None, 8, False), (8, 8, True), (None, None, True), (None, None, True)], key=str)
+
+
 def test_estimate_is_corrected_for_chance():
     r = np.random.default_rng(1)
     for n in (3, 50, 2000):
