@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import map_slices
 
-VECTOR, WIDTH, STRIDE, FILTERS, CHUNK = 6, 8, 4, 24, 256
+VECTOR, WIDTH, STRIDE, FILTERS, CHUNK = 6, 8, 1, 24, 256
 STEP = CHUNK - WIDTH
 #: Chunks that are worked on at a time.
-BLOCK = 1024
+BLOCK = 256
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 

@@ -238,6 +238,14 @@ def test_quality_learns_and_covers_whole_texts(spark):
     assert quality.train([]) is None and quality.score_batch(None, __import__("pyarrow").array(["a"]))[0] == 0.5
 
 
+def test_quality_sees_every_window():
+    network = quality.Network()
+    texts = ["a" * (20 + shift) + "%%%" + "a" * (477 - shift) for shift in range(300)]
+    scores = quality.score_batch(network, __import__("pyarrow").array(texts))
+    found = [network.pooled(quality.chunks_at(d, s := quality.chunk_starts(len(d)), np.full(len(s), len(d))))[0].max(0) for d in (np.frombuffer(t.encode(), np.uint8) for t in texts)]
+    assert len(scores) == 300 and all(np.allclose(f, found[0], atol=1e-5) for f in found)
+
+
 def test_url_filter(spark):
     rows = [(1, "HTTP://WWW.Example.com/en/x?q"), (2, "http://a.example.com/en/"), (3, "http://b.net/es/1#f"), (4, None), (5, "nothing"), (6, "http://bad.org/x"), (7, "http://a.com"), (8, "http://good.org/y/?z")]
     rows += [(100 + i, f"http://bad.org/{i}") for i in range(40)] + [(200 + i, f"http://good.org/{i}") for i in range(40)]
