@@ -297,3 +297,10 @@ def concatenated_sources(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     first = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("id"))
     return changelog.concatenated(first, e.filter("event_type <> 'signup'").groupBy("user_id").agg(F.max("event_id").alias("id"))).select("user_id", "seq", "id")
+
+
+@query("SELECT user_id, 0 AS seq, event_id FROM events WHERE event_type = 'signup' UNION ALL SELECT user_id, 1, event_id FROM events WHERE event_type <> 'signup'")
+def concatenated_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    first, later = e.filter("event_type = 'signup'"), e.filter("event_type <> 'signup'")
+    return changelog.concatenated(first.drop("event_type"), later.drop("event_type")).select("user_id", "seq", "event_id")

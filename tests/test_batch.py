@@ -131,3 +131,12 @@ def test_nested_records_round_trip(spark, tmp_path):
 def test_repeated_output_names_are_refused(spark):
     with pytest.raises(ValueError):
         aggregates.aggregate(spark.createDataFrame([(1, 2)], "a int, b int"), ["a"], [F.sum("b").alias("a")])
+
+
+def test_concatenation_of_all_rows(spark):
+    from driftline import queries
+
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet").collect()
+    got = sorted(tuple(r) for r in queries.QUERIES["concatenated_events"](spark, folder).collect())
+    assert got == sorted((e.user_id, int(e.event_type != "signup"), e.event_id) for e in events)
