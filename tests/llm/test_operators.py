@@ -113,6 +113,20 @@ def test_prefix_counts():
         assert totals[fits] <= 3 and all(n > 3 for n in totals[fits + 1 :])
 
 
+def test_token_counts_with_small_caches(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "CACHE", 40)
+    monkeypatch.setattr(token_counts, "TOGETHER", 7)
+    monkeypatch.setattr(token_counts, "PAIR_BITS", 3)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    whole, counter, r = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PrefixCounts(path), random.Random(6)
+    texts = ["".join(r.choices("  ▁aaeinorst.,1é日\U0001f642\x00", k=r.randrange(120))) for _ in range(400)]
+    for at in range(0, len(texts), 50):
+        for text, table in zip(texts[at : at + 50], counter.tables(texts[at : at + 50]), strict=True):
+            assert len(table) == len(text) and token_counts.totals(table)[-1] == len(whole.encode(text)), text
+
+
 def test_token_count_query(spark):
     got = {r.id: r for r in token_counts.count_tokens(docs_of(spark, [None, *ODD]), public_tokenizers.path("piece_bpe_32k.model"), 5, keep_tables=True).collect()}
     assert got[0].n_tokens == 0 and got[0].n_bytes == 0 and len(got) == len(ODD) + 1
