@@ -42,7 +42,17 @@ def stored(df: DataFrame) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames, which nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

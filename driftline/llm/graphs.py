@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_grouped, stored
+from .common import join_grouped, release, stored
 
 
 def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
@@ -23,15 +23,19 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (its smallest node) of every node that has an edge."""
+    """node, component (its smallest node) of every node that has an edge; stored."""
     pair = (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = stored(edges.filter(F.col(a) != F.col(b)).select(*pair).distinct())
     seen = None
     while True:
         total, sign = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (total, sign) == seen or not total:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+            release(edges)
+            return out
         seen = (total, sign)
         both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        edges = stored(_star(both, 2 * total, large=True).distinct())
-        edges = stored(_star(edges, edges.count(), large=False).distinct())
+        large = stored(_star(both, 2 * total, large=True).distinct())
+        release(edges, both)
+        edges = stored(_star(large, large.count(), large=False).distinct())
+        release(large)

@@ -5,13 +5,13 @@ mantissa bits. Buckets that a small set leaves empty are filled by further round
 far as their elements do. Bands of registers make the candidates; the share of equal registers, corrected for registers
 that agree by chance, estimates their similarity; candidates near or above the threshold are verified on the full sets.
 
-Texts with equal sets form a class, of which only one text is compared; classes are numbered in the order of their
-smallest ids, and below an id of a class is this number. In each band's bucket the members are
-first compared with the smallest id, then with members of its largest component. Only members of one bucket that are
-still in different components are compared with each other, and of these only pairs that the triangle inequality for
-the distances to the smallest id allows, and that share rare elements among those in which they differ from it: two
-sets that don't both link with it can only link if their differences from it have enough in common. So every pair that
-shares a bucket is linked through others, or compared, or known to be too far apart.
+Texts with equal sets form a class, of which only one text is compared; classes are numbered (node) in the order of their
+smallest ids. A bucket's pivot is the member that meets others most often over all bands, so one of the most central.
+First each class is compared with the foremost of its pivots. Then, while that still links many, the members of a bucket
+that are outside its largest component are compared with one of them. What is left open, members of one bucket in
+different components, is settled exactly by their differences from the bucket's pivot: two sets that don't both link
+with it can only link if their differences have enough in common, so only pairs that share rare elements among these are
+compared. So every pair that shares a bucket is linked through others, or compared, or known to be too far apart.
 
 Null texts, and texts without words, have no shingles and link with nothing. Of rows that repeat an id
 each distinct text is compared; ids only give groups their names. Rows without an id are compared too, but can't name a
@@ -20,14 +20,12 @@ group; a group of only such rows has no name. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_grouped, map_slices, stored
+from .common import join_grouped, map_slices, release, stored
 from .graphs import components
 from .shingles import U, mix, shingle_sets
 
@@ -38,8 +36,8 @@ MANTISSA, ROUNDS, EXPONENTS = 10, 40, 64
 ROUND_SALT = U(0xA0761D6478BD642F)
 #: Standard errors of the estimate below the threshold at which candidates are still verified.
 MARGIN = 5.0
-#: Rounds of further pivots before all pairs that are left in a bucket are compared.
-TURNS = 1
+#: Rounds of further pivots at most, which end early when a round links less than this share of its pairs.
+TURNS, LEAST_GAIN = 4, 0.1
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -97,171 +95,239 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """id, text_key, n (size of the set), set_key (equal for equal sets), registers, bands; for an empty set the last three are null."""
+    """id, text_key, n (size of the set), set_key (equal for equal sets), registers; for an empty set the last two are null."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(2), words)
         keys = [None if not len(s) else np.array([mix(s ^ U(0x1D8E4E27C47D124F)).sum(dtype=U), mix(s ^ U(0xEB44ACCAB455D165)).sum(dtype=U)], "<u8").tobytes() for s in sets]
-        regs = [registers(s) if len(s) else None for s in sets]
-        full = [r for r in regs if r is not None]
-        bands = iter(band_keys(np.stack(full)) if full else [])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if r is None else r.astype("<u2").tobytes() for r in regs], pa.binary()), pa.array([None if r is None else next(bands) for r in regs], pa.list_(pa.int64()))],
-            ["id", "text_key", "n", "set_key", "registers", "bands"],
-        )
-
-    return map_slices(docs.select("id", "text_key", "text"), work, "id long, text_key long, n long, set_key binary, registers binary, bands array<long>")
-
-
-def finder(reps: DataFrame, docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Of classes (id): id and text, stored; a class's text is that of its first row's id and text_key."""
-
-    def texts(ids: DataFrame) -> DataFrame:
-        wanted = stored(reps.select("id", "first", "text_key").join(ids, "id", "left_semi"))
-        rows, wanted = docs.withColumnRenamed("id", "doc"), wanted.withColumnRenamed("text_key", "first_key")
-        found = rows.join(wanted, F.col("doc").eqNullSafe(F.col("first")) & (F.col("text_key") == F.col("first_key")))
-        return stored(found.select("id", "text").dropDuplicates(["id"]))
-
-    return texts
-
-
-def tested(pairs: DataFrame, reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
-    """a, b, linked, near, far of pairs (a, b, n_a, n_b): bounds of their distance, equal where sets were compared."""
-    least = percent / 100
-    small = (F.least("n_a", "n_b") / F.greatest("n_a", "n_b"))
-    outside = pairs.filter(100 * F.least("n_a", "n_b") < percent * F.greatest("n_a", "n_b"))
-    outside = outside.select("a", "b", F.lit(False).alias("linked"), (1 - small).alias("near"), F.lit(1.0).alias("far"))
-    inside = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    regs = reps.select("id", "registers")
-    inside = inside.join(regs.toDF("b", "r_b"), "b").join(regs.toDF("a", "r_a"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    error = MARGIN * (least * (1 - least) / REGISTERS) ** 0.5
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimate(a, b, n_a, n_b))], ["a", "b", "similarity"])
-
-    judged = stored(map_slices(inside, judge, "a long, b long, similarity double"))
-    unlike = judged.filter(F.col("similarity") + error < least).select("a", "b", F.lit(False).alias("linked"), (1 - F.col("similarity") - error).alias("near"), F.lit(1.0).alias("far"))
-    close = judged.filter(F.col("similarity") + error >= least).select("a", "b")
-    texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = close.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shared, union = [], []
-        for x, y in zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True):
-            shared.append(len(np.intersect1d(x, y, assume_unique=True)))
-            union.append(len(x) + len(y) - shared[-1])
-        s, u = np.array(shared), np.array(union)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * s >= percent * u), pa.array(1 - s / u)], ["a", "b", "linked", "near"])
-
-    verified = map_slices(both, verify, "a long, b long, linked boolean, near double").withColumn("far", F.col("near"))
-    return stored(outside.unionByName(unlike).unionByName(verified))
-
-
-def links(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+        regs = [registers(s).astype("<u2").tobytes() if len(s) else None for s in sets]
+        arrays = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "text_key", "n", "set_key", "registers"])
+
+    return map_slices(docs.select("id", "text_key", "text"), work, "id long, text_key long, n long, set_key binary, registers binary")
+
+
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """Registers as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """key, node, size of the bands' buckets that have several members; of buckets with the same members, one."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = band_keys(as_matrix(batch.column(1)))
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "node"])
+
+    rows = map_slices(reps.select("node", "registers"), work, "key long, node long")
+    seen = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members_{i}") for i in range(2)]
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *seen).filter("size > 1")
+    counts = stored(counts.groupBy("size", "members_0", "members_1").agg(F.min("key").alias("key")).select("key", "size"))
+    out = stored(rows.join(counts, "key"))
+    release(counts)
+    return out
+
+
+def first(*columns: str) -> Column:
+    """The row with the largest first column, of equal ones with the smallest second."""
+    return F.max(F.struct(F.col(columns[0]).alias("order"), (-F.col(columns[1])).alias("least"), *columns))
+
+
+def ranked(members: DataFrame) -> DataFrame:
+    """members with share (how often the node meets others, over all buckets) and the pivot: of each bucket the node with the largest share.
+
+    The share grows with a node's likeness to the others, so the pivot is one of the most central members.
+    """
+    shares = members.groupBy("node").agg(F.sum(F.col("size") - 1).alias("share"))
+    known = stored(members.join(shares, "node"))
+    pivots = known.groupBy("key").agg(first("share", "node").alias("best")).select("key", F.col("best.node").alias("pivot"), F.col("best.share").alias("pivot_share"))
+    out = stored(known.join(pivots, "key").select("key", "node", "share", "pivot", "pivot_share"))
+    release(known)
+    return out
+
+
+#: What tells the rows of one id and text: an id's place (0 for none), and whether it has none.
+SOURCE = ("place", "unnamed")
+
+
+def source(id_col: str) -> tuple[Column, Column]:
+    return F.coalesce(id_col, F.lit(0)).alias("place"), F.col(id_col).isNull().alias("unnamed")
+
+
+class Sets:
+    """Candidate classes (node): their registers and texts, stored, to compare pairs of them."""
+
+    def __init__(self, reps: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int):
+        self.words, self.percent = words, percent
+        own = reps.join(nodes, "node", "left_semi")
+        self.registers = stored(own.select("node", "n", "registers"))
+        wanted = own.select("node", *source("first"), "text_key")
+        rows = docs.select(*source("id"), "text_key", "text").join(wanted, [*SOURCE, "text_key"])
+        self.texts = stored(rows.groupBy(*SOURCE, "text_key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+
+    def release(self) -> None:
+        release(self.registers, self.texts)
+
+    def with_texts(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """pairs with text_a and text_b."""
+        return pairs.join(self.texts.toDF(b, "text_b"), b).join(self.texts.toDF(a, "text_a"), a)
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link: estimated by their registers, then verified on the full sets."""
+        least, words, percent = self.percent / 100, self.words, self.percent
+        error = MARGIN * (least * (1 - least) / REGISTERS) ** 0.5
+
+        def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+            near = estimate(as_matrix(batch.column(4)), as_matrix(batch.column(5)), n_a, n_b) + error >= least
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+        def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, place, back = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+            ones, fits = shingle_sets(batch.column(2).take(pa.array(place)), words), []
+            for x, y in zip(back, shingle_sets(batch.column(3), words), strict=True):
+                shared = len(np.intersect1d(ones[x], y, assume_unique=True))
+                fits.append(100 * shared >= percent * (len(ones[x]) + len(y) - shared))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+        inside = pairs.join(self.registers.toDF("b", "n_b", "r_b"), "b").join(self.registers.toDF("a", "n_a", "r_a"), "a")
+        inside = inside.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        close = stored(map_slices(inside.select("a", "b", "n_a", "n_b", "r_a", "r_b"), judge, "a long, b long"))
+        both = self.with_texts(close, "a", "b").select("a", "b", "text_a", "text_b")
+        out = stored(map_slices(both, verify, "a long, b long"))
+        release(close)
+        return out
+
+
+def grown(found: DataFrame, *more: DataFrame) -> DataFrame:
+    """Components (node, component) with further links (a, b); what was given is released."""
+    edges = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    for one in more:
+        edges = edges.unionByName(one.select("a", "b"))
+    out = components(edges)
+    release(found, *more)
+    return out
+
+
+def links(members: DataFrame, sets: Sets) -> DataFrame:
     """node, component of the classes that link with others."""
-    rows = reps.select(F.explode("bands").alias("key"), "id", "n")
-    buckets = stored(rows.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("n_pivot")), "id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first.*", "size"))
-    held = buckets.agg(F.sum("size")).first()[0] or 0
-    members = stored(join_grouped(rows, buckets, "key", "size", held))
-    pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    done = [tested(stored(pairs), reps, texts_of, words, percent)]
-    first = done[0].select(F.col("a").alias("pivot"), F.col("b").alias("id"), "near", "far")
-    members = stored(members.join(first, ["pivot", "id"], "left").select("key", "pivot", "n_pivot", "id", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    found, total = stored(components(done[0].filter("linked"))), members.count()
-
-    # members of one bucket that are in different components: more pivots, then all pairs that are left
-    for turn in range(TURNS + 1):
-        known = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(turn))).alias("some"))
-        apart = apart.groupBy("key").agg(F.sum("size").alias("size"), F.sum(F.col("size").cast("double") ** 2).alias("within"), F.max_by(F.struct("component", "some.*"), F.struct("size", "component")).alias("pivot")).filter("size * size > within")
-        apart = stored(apart.select("key", "size", ((F.col("size") ** 2 - F.col("within")) / 2).alias("pairs"), F.col("pivot.component").alias("held"), F.col("pivot.id").alias("a"), F.col("pivot.n").alias("n_a")))
-        left, held = apart.agg(F.sum("pairs"), F.sum("size")).first()
-        if not left:
-            return found
-        open_ = stored(join_grouped(known, apart, "key", "size", held))
-        if turn == TURNS or left <= total:
-            own = open_.select("pivot", "n_pivot", "id", "n", "component", "near", "far").distinct()
-            pairs = open_pairs(own, texts_of, words, percent)
-        else:
-            pairs = open_.filter("component <> held").select("a", F.col("id").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-        for one in done:
-            pairs = pairs.join(one.select("a", "b"), ["a", "b"], "left_anti")
-        done.append(tested(stored(pairs.distinct()), reps, texts_of, words, percent))
-        stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        found = stored(components(stars.unionByName(done[-1].filter("linked").select("a", "b"))))
-        if turn == TURNS or left <= total:
-            return found
-
-
-def deltas(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
-    """Of members (pivot, n_pivot, id, n, ...): linked (with the pivot), keys (of the elements in which the two sets differ).
+    stars = members.filter("node <> pivot").groupBy("node").agg(first("pivot_share", "pivot").alias("best"))
+    tested = stored(stars.select(F.col("best.pivot").alias("a"), F.col("node").alias("b")))
+    linked = sets.linked(tested)
+    found, pivots = components(linked), tested.select(F.col("a").alias("node")).distinct()
+    release(linked)
+    for _ in range(TURNS):
+        known = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        largest = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), first("size", "component").alias("best")).filter("parts > 1")
+        # members outside the largest component of their bucket; components that had a pivot lend none again
+        outside = stored(known.join(largest.select("key", F.col("best.component").alias("largest")), "key").filter("component <> largest").select("key", "node", "share", "component"))
+        had = found.join(pivots, "node", "left_semi").select("component").unionByName(pivots.toDF("component")).distinct()
+        heads = outside.join(had, "component", "left_anti").groupBy("key").agg(F.max(F.struct("share", (-F.col("node")).alias("least"), "node", "component")).alias("head"))
+        stars = outside.join(heads, "key").filter("component <> head.component").groupBy("node").agg(F.max("head").alias("head"))
+        pairs = stored(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
+        n = pairs.count()
+        if not n:
+            release(outside, pairs)
+            break
+        linked = sets.linked(pairs)
+        more = linked.count()
+        found = grown(found, linked)
+        pivots = stored(pivots.unionByName(pairs.select(F.col("a").alias("node"))).distinct())
+        release(tested, outside, pairs)
+        tested = pivots
+        if more < LEAST_GAIN * n:
+            break
+    release(tested)
+    return found
+
+
+def remaining(members: DataFrame, found: DataFrame, sets: Sets) -> DataFrame:
+    """found, after all pairs of one bucket in different components have been compared or shown to be too far apart."""
+    known = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = stored(known.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key"))
+    if not open_.take(1):
+        return found
+    rows = deltas(known.join(open_, "key").select("pivot", "node", "component").distinct(), sets)
+    pairs = open_pairs(rows, sets.percent)
+    linked = sets.linked(pairs)
+    direct = stored(rows.filter("linked AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    release(open_, rows, pairs)
+    return grown(found, linked, direct)
+
+
+def deltas(members: DataFrame, sets: Sets) -> DataFrame:
+    """Of members (pivot, node, component): n, far (distance of the pivot), linked, keys (of the elements in which the two sets differ).
 
     joint and apart are how many keys it must share to link with a set that is not, or is, linked with the pivot.
     """
+    words, percent = sets.words, sets.percent
     g = (100 - percent) / (100 + percent)  # sets link if they differ in at most this share of the sum of their sizes
-    ids = members.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
-    texts = texts_of(ids)
-    pairs = members.select("pivot", "id", "n", "n_pivot").join(texts, "id").join(texts.toDF("pivot", "text_pivot"), "pivot")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, keys, joint, apart = [], [], [], []
-        sets = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True)
-        for pivot, x, first in sets:
-            differ = np.setxor1d(x, first, assume_unique=True)
-            extra, least = len(differ) - g * len(x), g * len(first)
-            linked.append(extra <= least + 1e-9)
-            keys.append(mix(differ ^ mix(np.array([pivot], np.int64).view(U))).view(np.int64))
-            joint.append(max(1, int(np.ceil((extra + least) / 2 - 1e-6))))
-            apart.append(joint[-1] if linked[-1] else max(1, int(np.ceil((extra - least) / (1 + g) - 1e-6))))
-        arrays = [pa.array(linked), pa.array(keys, pa.list_(pa.int64())), pa.array(joint, pa.int64()), pa.array(apart, pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["pivot", "id", "linked", "keys", "joint", "apart"])
-
-    found = map_slices(pairs.select("pivot", "id", "text", "text_pivot"), work, "pivot long, id long, linked boolean, keys array<long>, joint long, apart long")
-    return stored(members.join(found, ["pivot", "id"]))
-
-
-def open_pairs(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
-    """a, b, n_a, n_b: pairs of members (pivot, n_pivot, id, n, component, near, far) of one pivot that may still link.
+        pivots, place, back = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+        firsts, out = shingle_sets(batch.column(3).take(pa.array(place)), words), []
+        salts = mix(pivots.view(U))
+        for p, x in zip(back, shingle_sets(batch.column(4), words), strict=True):
+            differ = np.setxor1d(x, firsts[p], assume_unique=True)
+            extra, least = len(differ) - g * len(x), g * len(firsts[p])
+            linked = extra <= least + 1e-9
+            joint = max(1, int(np.ceil((extra + least) / 2 - 1e-6)))
+            apart = joint if linked else max(1, int(np.ceil((extra - least) / (1 + g) - 1e-6)))
+            out.append((len(x), 2 * len(differ) / (len(x) + len(firsts[p]) + len(differ)), linked, mix(differ ^ salts[p]).view(np.int64), joint, apart))
+        kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["pivot", "node", "component", "n", "far", "linked", "keys", "joint", "apart"])
+
+    both = sets.with_texts(members, "pivot", "node").select("pivot", "node", "component", "text_a", "text_b")
+    return stored(map_slices(both, work, "pivot long, node long, component long, n long, far double, linked boolean, keys array<long>, joint long, apart long"))
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of deltas' rows of one pivot that may link.
 
     Sets of which one at least isn't linked with their pivot can only link if they share a number of the elements in
     which they differ from it. So each keeps but its rarest differing elements, as many as any partner must meet.
     """
-    rows = deltas(members, texts_of, words, percent)
-    each = rows.select(F.explode("keys").alias("key"), "pivot", "id")
+    each = rows.select(F.explode("keys").alias("key"), "pivot", "node")
     counts = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
-    shared = stored(join_grouped(each, counts, "key", "held", each.count()))
+    shared = each.join(counts, "key")
     # elements that no other set has come first in the order and meet nothing, so only their number counts
-    order = shared.select("pivot", "id", "key", F.row_number().over(Window.partitionBy("pivot", "id").orderBy("held", "key")).alias("place"))
-    lone = shared.groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("known"))
-    bounds = rows.withColumn("total", F.size("keys")).drop("keys", "n_pivot").join(lone, ["pivot", "id"])
-    first = order.join(bounds, ["pivot", "id"]).withColumn("last", F.col("known") - F.col("place") + 1)  # it and the elements after it
-    first = stored(first.filter("last >= apart").select("key", "id", "n", "component", "near", "far", "linked", (F.col("last") >= F.col("joint")).alias("strict")))
-    x, y, most = first.filter("NOT linked").alias("x"), first.alias("y"), 1 - percent / 100 + 1e-9
-    fits = (F.col("x.near") - F.col("y.far") <= most) & (F.col("y.near") - F.col("x.far") <= most)
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    kinds = F.col("y.linked") | (F.col("x.strict") & F.col("y.strict") & (F.col("x.id") < F.col("y.id")))
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & kinds & sizes & fits)
-    a, b = F.struct("x.id", "x.n"), F.struct("y.id", "y.n")
-    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select("a.id", "b.id", "a.n", "b.n").toDF("a", "b", "n_a", "n_b")
+    last = F.row_number().over(Window.partitionBy("pivot", "node").orderBy(F.desc("held"), F.desc("key")))  # the element and those that come after it
+    kept = shared.withColumn("last", last).join(rows.drop("keys"), ["pivot", "node"]).filter("last >= apart")
+    kept = stored(kept.select("key", "node", "n", "component", "far", "linked", (F.col("last") >= F.col("joint")).alias("strict")))
+    x, y = kept.filter("NOT linked").alias("x"), kept.alias("y")
+    fits = (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    kinds = F.col("y.linked") | (F.col("x.strict") & F.col("y.strict") & (F.col("x.node") < F.col("y.node")))
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & kinds & fits)
+    out = stored(both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    release(counts, kept)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links lead to), kept for every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = stored(sketches(docs, words))
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("first"), "text_key")).alias("row")
-    classes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(first, F.count(F.lit(1)).alias("size")).select("set_key", "size", "row.*")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("first"), "text_key")).alias("row")
+    classes = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(smallest, F.count(F.lit(1)).alias("size")).select("set_key", "size", "row.*")
     classes = stored(classes.orderBy("unnamed", "first", "set_key").withColumn("node", F.monotonically_increasing_id()))
-    held = classes.select("set_key", "node", "first", F.col("text_key").alias("first_key"))
-    reps = rows.join(held, "set_key").filter(F.col("id").eqNullSafe(F.col("first")) & (F.col("text_key") == F.col("first_key")))
-    reps = stored(reps.dropDuplicates(["node"]).select(F.col("node").alias("id"), "first", "text_key", "n", "registers", "bands"))
-    groups = links(reps, finder(reps, docs), words, percent)
+    # the row that stands for a class; copies of one set have ids of their own, so this join meets no hot key
+    held = classes.select("set_key", *source("first"), "text_key", "node", "first")
+    reps = rows.select("set_key", *source("id"), "text_key", "n", "registers").join(held, ["set_key", *SOURCE, "text_key"])
+    reps = stored(reps.dropDuplicates(["set_key", *SOURCE, "text_key"]).select("node", "first", "text_key", "n", "registers"))
+    met = buckets(reps)
+    members = ranked(met)
+    release(met)
+    sets = Sets(reps, docs, members.select("node").distinct(), words, percent)
+    release(reps)
+    groups = remaining(members, links(members, sets), sets)
+    release(members)
+    sets.release()
     names = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("name"))
     named = classes.join(groups.join(names, "component"), "node", "left")
     named = stored(named.select("set_key", "size", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("name")).alias("component_id")))
+    release(groups, classes)
     small = rows.select("id", "n", "set_key")
     out = join_grouped(small.filter("set_key IS NOT NULL"), named, "set_key", "size", rows.count()).select("id", "n", "component_id")
     out = out.unionByName(small.filter("set_key IS NULL").select("id", "n", F.col("id").alias("component_id")))
