@@ -17,6 +17,8 @@ SLICE_ROWS, SLICE_BYTES = 512, 1 << 21
 #: While a table is stored: few rows go to a Python worker at a time, as the JVM and the worker each hold several such
 #: batches, and small partitions are put together, as each becomes a file.
 WHILE_STORED = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: About what a task of a table of a known size makes.
+TASK_BYTES = 8 << 20
 #: A key is hot when it holds at least one in HOT_SHARE rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
@@ -31,9 +33,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/driftline-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to shared storage and read again: later jobs neither repeat its work nor depend on executors that did it."""
+def stored(df: DataFrame, rows: int | None = None, row_bytes: int = 40) -> DataFrame:
+    """df written to shared storage and read again: later jobs neither repeat its work nor depend on executors that did it.
+
+    rows: if known, a bound of df's rows, of which each takes about row_bytes to make; then a small table is made by few
+    tasks and kept in few files, however many partitions shuffles have.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(rows * row_bytes // TASK_BYTES + 1)
     before = {key: spark.conf.get(key) for key in WHILE_STORED}
     for key, value in WHILE_STORED.items():
         spark.conf.set(key, value)

@@ -38,6 +38,8 @@ ROUND_SALT = U(0xA0761D6478BD642F)
 MARGIN = 5.0
 #: Rounds of further pivots at most, which end early when a round links less than this share of its pairs.
 TURNS, LEAST_GAIN = 4, 0.1
+#: About what it takes to verify a pair, which decides how many tasks do it.
+TEXT_BYTES = 8192
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def buckets(reps: DataFrame) -> DataFrame:
     seen = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members_{i}") for i in range(2)]
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *seen).filter("size > 1")
     counts = stored(counts.groupBy("size", "members_0", "members_1").agg(F.min("key").alias("key")).select("key", "size"))
-    out = stored(rows.join(counts, "key"))
+    out = stored(rows.join(counts, "key"), counts.agg(F.sum("size")).first()[0] or 0)
     release(counts)
     return out
 
@@ -133,15 +135,15 @@ def first(*columns: str) -> Column:
     return F.max(F.struct(F.col(columns[0]).alias("order"), (-F.col(columns[1])).alias("least"), *columns))
 
 
-def ranked(members: DataFrame) -> DataFrame:
+def ranked(members: DataFrame, rows: int) -> DataFrame:
     """members with share (how often the node meets others, over all buckets) and the pivot: of each bucket the node with the largest share.
 
     The share grows with a node's likeness to the others, so the pivot is one of the most central members.
     """
     shares = members.groupBy("node").agg(F.sum(F.col("size") - 1).alias("share"))
-    known = stored(members.join(shares, "node"))
+    known = stored(members.join(shares, "node"), rows)
     pivots = known.groupBy("key").agg(first("share", "node").alias("best")).select("key", F.col("best.node").alias("pivot"), F.col("best.share").alias("pivot_share"))
-    out = stored(known.join(pivots, "key").select("key", "node", "share", "pivot", "pivot_share"))
+    out = stored(known.join(pivots, "key").select("key", "node", "share", "pivot", "pivot_share"), rows)
     release(known)
     return out
 
@@ -161,6 +163,7 @@ class Sets:
         self.words, self.percent = words, percent
         own = reps.join(nodes, "node", "left_semi")
         self.registers = stored(own.select("node", "n", "registers"))
+        self.count = self.registers.count()
         wanted = own.select("node", *source("first"), "text_key")
         rows = docs.select(*source("id"), "text_key", "text").join(wanted, [*SOURCE, "text_key"])
         self.texts = stored(rows.groupBy(*SOURCE, "text_key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
@@ -172,8 +175,8 @@ class Sets:
         """pairs with text_a and text_b."""
         return pairs.join(self.texts.toDF(b, "text_b"), b).join(self.texts.toDF(a, "text_a"), a)
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link: estimated by their registers, then verified on the full sets."""
+    def linked(self, pairs: DataFrame, rows: int) -> DataFrame:
+        """Those of the pairs (a, b), at most so many rows, that link: estimated by their registers, then verified on the full sets."""
         least, words, percent = self.percent / 100, self.words, self.percent
         error = MARGIN * (least * (1 - least) / REGISTERS) ** 0.5
 
@@ -192,68 +195,73 @@ class Sets:
 
         inside = pairs.join(self.registers.toDF("b", "n_b", "r_b"), "b").join(self.registers.toDF("a", "n_a", "r_a"), "a")
         inside = inside.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        close = stored(map_slices(inside.select("a", "b", "n_a", "n_b", "r_a", "r_b"), judge, "a long, b long"))
+        close = stored(map_slices(inside.select("a", "b", "n_a", "n_b", "r_a", "r_b"), judge, "a long, b long"), rows, 4 * REGISTERS)
         both = self.with_texts(close, "a", "b").select("a", "b", "text_a", "text_b")
-        out = stored(map_slices(both, verify, "a long, b long"))
+        out = stored(map_slices(both, verify, "a long, b long"), rows, TEXT_BYTES)
         release(close)
         return out
 
 
-def grown(found: DataFrame, *more: DataFrame) -> DataFrame:
-    """Components (node, component) with further links (a, b); what was given is released."""
-    edges = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+def grown(found: DataFrame, nodes: int, *more: DataFrame) -> DataFrame:
+    """Components (node, component) of so many nodes with further links (a, b); what was given is released."""
+    edges = None
     for one in more:
-        edges = edges.unionByName(one.select("a", "b"))
-    out = components(edges)
-    release(found, *more)
-    return out
+        edges = one if edges is None else edges.unionByName(one)
+    ends = edges.join(found.toDF("a", "u"), "a").join(found.toDF("b", "v"), "b").filter("u <> v").select("u", "v").distinct()
+    edges = stored(ends, nodes)
+    if edges.take(1):
+        joined = components(edges, "u", "v", nodes)
+        old, found = found, stored(found.join(joined.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component")), nodes)
+        release(old, joined)
+    release(edges, *more)
+    return found
 
 
-def links(members: DataFrame, sets: Sets) -> DataFrame:
-    """node, component of the classes that link with others."""
+def links(members: DataFrame, rows: int, sets: Sets) -> DataFrame:
+    """node, component of all candidates, linked as far as comparisons with pivots go. rows: of members."""
+    n = sets.count
     stars = members.filter("node <> pivot").groupBy("node").agg(first("pivot_share", "pivot").alias("best"))
-    tested = stored(stars.select(F.col("best.pivot").alias("a"), F.col("node").alias("b")))
-    linked = sets.linked(tested)
-    found, pivots = components(linked), tested.select(F.col("a").alias("node")).distinct()
-    release(linked)
+    tested = stored(stars.select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), n)
+    found = stored(sets.registers.select("node", F.col("node").alias("component")), n)
+    found, pivots = grown(found, n, sets.linked(tested, n)), tested.select(F.col("a").alias("node")).distinct()
     for _ in range(TURNS):
-        known = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = members.join(found, "node")
         parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         largest = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), first("size", "component").alias("best")).filter("parts > 1")
         # members outside the largest component of their bucket; components that had a pivot lend none again
-        outside = stored(known.join(largest.select("key", F.col("best.component").alias("largest")), "key").filter("component <> largest").select("key", "node", "share", "component"))
-        had = found.join(pivots, "node", "left_semi").select("component").unionByName(pivots.toDF("component")).distinct()
+        outside = stored(known.join(largest.select("key", F.col("best.component").alias("largest")), "key").filter("component <> largest").select("key", "node", "share", "component"), rows)
+        had = found.join(pivots, "node", "left_semi").select("component").distinct()
         heads = outside.join(had, "component", "left_anti").groupBy("key").agg(F.max(F.struct("share", (-F.col("node")).alias("least"), "node", "component")).alias("head"))
         stars = outside.join(heads, "key").filter("component <> head.component").groupBy("node").agg(F.max("head").alias("head"))
-        pairs = stored(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
-        n = pairs.count()
-        if not n:
-            release(outside, pairs)
-            break
-        linked = sets.linked(pairs)
-        more = linked.count()
-        found = grown(found, linked)
-        pivots = stored(pivots.unionByName(pairs.select(F.col("a").alias("node"))).distinct())
-        release(tested, outside, pairs)
-        tested = pivots
-        if more < LEAST_GAIN * n:
+        pairs = stored(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")), n)
+        tries = pairs.count()
+        linked = sets.linked(pairs, tries) if tries else None
+        more = linked.count() if tries else 0
+        if tries:
+            found = grown(found, n, linked)
+            pivots = stored(pivots.unionByName(pairs.select(F.col("a").alias("node"))).distinct(), n)
+            release(tested)
+            tested = pivots
+        release(outside, pairs)
+        if more <= LEAST_GAIN * tries:
             break
     release(tested)
     return found
 
 
-def remaining(members: DataFrame, found: DataFrame, sets: Sets) -> DataFrame:
+def remaining(members: DataFrame, rows: int, found: DataFrame, sets: Sets) -> DataFrame:
     """found, after all pairs of one bucket in different components have been compared or shown to be too far apart."""
-    known = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = stored(known.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key"))
-    if not open_.take(1):
-        return found
-    rows = deltas(known.join(open_, "key").select("pivot", "node", "component").distinct(), sets)
-    pairs = open_pairs(rows, sets.percent)
-    linked = sets.linked(pairs)
-    direct = stored(rows.filter("linked AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    release(open_, rows, pairs)
-    return grown(found, linked, direct)
+    known = members.join(found, "node")
+    open_ = stored(known.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key"), rows)
+    if open_.take(1):
+        differ = deltas(known.join(open_, "key").select("pivot", "node", "component").distinct(), sets)
+        pairs = open_pairs(differ, sets.percent)
+        linked = sets.linked(pairs, pairs.count())
+        direct = stored(differ.filter("linked AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), rows)
+        release(differ, pairs)
+        found = grown(found, sets.count, linked, direct)
+    release(open_)
+    return found
 
 
 def deltas(members: DataFrame, sets: Sets) -> DataFrame:
@@ -317,11 +325,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = rows.select("set_key", *source("id"), "text_key", "n", "registers").join(held, ["set_key", *SOURCE, "text_key"])
     reps = stored(reps.dropDuplicates(["set_key", *SOURCE, "text_key"]).select("node", "first", "text_key", "n", "registers"))
     met = buckets(reps)
-    members = ranked(met)
+    size = met.count()
+    members = ranked(met, size)
     release(met)
     sets = Sets(reps, docs, members.select("node").distinct(), words, percent)
     release(reps)
-    groups = remaining(members, links(members, sets), sets)
+    groups = remaining(members, size, links(members, size, sets), sets)
     release(members)
     sets.release()
     names = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("name"))
