@@ -4,19 +4,21 @@ A text's UTF-8 bytes are cut into chunks that overlap by one filter's width, so
 Learned byte vectors and filters give each window its features; each feature's maximum is kept for each chunk, and
 the chunks' mean and maximum are combined into one probability. Nothing but the text goes into a score.
 
-Labels come from a bounded sample of rows (max_rows, in the order of a hash of the id) whose ids aren't held out; of each
-at most max_chunks chunks, evenly spread over the text, are trained on. Scoring covers every chunk of every text. Null
-is as the empty text, which is one chunk of zeros; if no label is usable, every score is one half.
+Labels come from a bounded sample of rows (max_rows, in the order of a hash of the id) whose ids aren't held out;
+training and scoring cover every chunk of every text. Null is as the empty text, which is one chunk of zeros; if no
+label is usable, every score is one half.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, stored
 
 VECTOR, WIDTH, STRIDE, FILTERS, CHUNK = 6, 8, 1, 24, 256
 STEP = CHUNK - WIDTH
@@ -74,41 +76,49 @@ class Network:
         logit = np.concatenate([mean, most], 1) @ self.weights["out"] + self.weights["base"]
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30).astype(np.float64)))
 
-    def gradients(self, chunks: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean logarithmic loss of texts, whose chunks begin at first."""
-        w, n = self.weights, np.diff(np.append(first, len(chunks)))
-        h, best = self.pooled(chunks)
+    def gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logarithmic loss of whole texts, in blocks of their chunks."""
+        w = self.weights
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        begins, own = ends - [len(t) for t in texts], [chunk_starts(len(t)) for t in texts]
+        n = np.array([len(x) for x in own])
+        first, text, starts = np.cumsum(n) - n, np.repeat(np.arange(len(texts)), n), np.concatenate(own)
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(text), BLOCK)]
+
+        def chunks(block: slice) -> np.ndarray:
+            return chunks_at(data, begins[text[block]] + starts[block], ends[text[block]])
+
+        pooled = [self.pooled(chunks(block)) for block in blocks]
+        h, best = (np.concatenate(x) for x in zip(*pooled, strict=True))
         mean, most = np.add.reduceat(h, first) / n[:, None], np.maximum.reduceat(h, first)
         d = ((self.probability(mean, most) - labels) / len(labels)).astype(np.float32)
-        text = np.repeat(np.arange(len(first)), n)
         dh = d[text, None] * (w["out"][:FILTERS] / n[text, None] + w["out"][FILTERS:] * (h == most[text])) * (h > 0)
-        seen = chunks[np.arange(len(chunks))[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)]  # bytes of the best windows
-        x = w["bytes"][seen].reshape(len(chunks), FILTERS, WIDTH * VECTOR)
-        dx = (dh[:, :, None] * w["filters"].T[None]).reshape(-1, VECTOR)
-        return {
-            "out": np.concatenate([d @ mean, d @ most]),
-            "base": d.sum(keepdims=True),
-            "bias": dh.sum(0),
-            "filters": np.einsum("nf,nfk->kf", dh, x),
-            "bytes": np.stack([np.bincount(seen.ravel(), dx[:, i], 256) for i in range(VECTOR)], 1),
-        }
-
-
-def train(texts: list[tuple[np.ndarray, int]], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network | None:
-    """texts: chunks and label of each. Adam, with the rate falling to zero."""
-    if not texts:
+        out = {k: np.zeros_like(v) for k, v in w.items()}
+        out["out"], out["base"], out["bias"] = np.concatenate([d @ mean, d @ most]), d.sum(keepdims=True), dh.sum(0)
+        for block in blocks:
+            seen = np.take_along_axis(chunks(block)[:, None], best[block][:, :, None] * STRIDE + np.arange(WIDTH), 2)  # bytes of the best windows
+            x = w["bytes"][seen].reshape(len(seen), FILTERS, WIDTH * VECTOR)
+            dx = (dh[block][:, :, None] * w["filters"].T[None]).reshape(-1, VECTOR)
+            out["filters"] += np.einsum("nf,nfk->kf", dh[block], x)
+            out["bytes"] += np.stack([np.bincount(seen.ravel(), dx[:, i], 256) for i in range(VECTOR)], 1).astype(np.float32)
+        return out
+
+
+def train(sample: DataFrame, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network | None:
+    """sample: doc_id, data (bytes) and quality of each text, stored. Adam, with the rate falling to zero.
+
+    Each epoch reads the sample again in another order, so the driver holds but a batch of texts and what Spark sends at once.
+    """
+    n, good = sample.agg(F.count(F.lit(1)), F.sum("quality")).first()
+    if not n:
         return None
-    network, r = Network(seed), np.random.default_rng(seed)
-    share = np.clip(np.mean([y for _, y in texts]), 0.01, 0.99)
+    network, share, step, steps = Network(seed), np.clip(good / n, 0.01, 0.99), 0, epochs * -(-n // batch)
     network.weights["base"][:] = np.log(share / (1 - share))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.weights.items()}
-    steps, step = epochs * -(-len(texts) // batch), 0
-    for _ in range(epochs):
-        order = r.permutation(len(texts))
-        for at in range(0, len(texts), batch):
-            own = [texts[i] for i in order[at : at + batch]]
-            first = np.cumsum([0, *(len(c) for c, _ in own[:-1])])
-            found = network.gradients(np.concatenate([c for c, _ in own]), first, np.array([y for _, y in own], np.float32))
+    for epoch in range(epochs):
+        rows = sample.orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit(epoch)), "doc_id").toLocalIterator()
+        while own := list(itertools.islice(rows, batch)):
+            found = network.gradients([bytes(x.data) for x in own], np.array([x.quality for x in own], np.float32))
             step += 1
             for k, g in found.items():
                 m, v = state[k]
@@ -118,24 +128,16 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 8, batch: int = 32,
     return network
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, max_rows: int, max_chunks: int) -> list[tuple[np.ndarray, int]]:
-    """Chunks and label of at most max_rows labelled rows whose ids aren't held out."""
+def sample_texts(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, data (the whole text's bytes) and quality of at most max_rows labelled rows whose ids aren't held out; stored.
+
+    Of rows that repeat an id, the smallest text and the smallest label count.
+    """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    one = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    one = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in batch.column(1).to_pylist():
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            starts = chunk_starts(len(data))
-            starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), max_chunks)).astype(int))]
-            out.append(chunks_at(data, starts, np.full(len(starts), len(data))).astype(np.uint8).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "chunks", "quality"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    found = map_slices(rows, work, "doc_id long, chunks binary, quality int").dropDuplicates(["doc_id"]).collect()
-    return [(np.frombuffer(x.chunks, np.uint8).reshape(-1, CHUNK), x.quality) for x in sorted(found, key=lambda x: x.doc_id)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    return stored(rows.groupBy("doc_id").agg(F.min("text").cast("binary").alias("data"), F.first("quality").alias("quality")))
 
 
 def score_batch(network: Network | None, texts: pa.Array) -> np.ndarray:

@@ -14,8 +14,8 @@ from . import archives, bpe, common, exact_dedup, hyperminhash, packing, pii, qu
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 TOKEN_LIMIT = 4096
 SEQUENCE_TOKENS, END_ID = 2048, 0
-#: Labelled rows that are trained on at most, and chunks of each.
-MAX_LABELLED, MAX_CHUNKS, LEAST_QUALITY = 2000, 64, 0.7
+#: Labelled rows that are trained on at most.
+MAX_LABELLED, LEAST_QUALITY = 2000, 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    network = quality.train(quality.sample_texts(docs, table(spark, sf_dir, "labels"), MAX_LABELLED, MAX_CHUNKS))
+    network = quality.train(quality.sample_texts(docs, table(spark, sf_dir, "labels"), MAX_LABELLED))
     out = quality.score(docs, network).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
 
@@ -49,9 +49,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches into one index: the second meets the digests of the first and is appended."""
     path = common.scratch(spark)
     index = exact_dedup.DigestIndex(spark, "digests_" + path.rpartition("-")[2], path)
-    out = index.add(table(spark, sf_dir, "documents"))
+    out = exact_dedup.dedup_in_batches(index, exact_dedup.halves(table(spark, sf_dir, "documents")))
+    spark.sql(f"DROP TABLE {index.name}")  # from the catalog; the files stay
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -83,8 +85,9 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+              FROM q JOIN v c ON q.vec_id <> c.vec_id),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 20""",
 }

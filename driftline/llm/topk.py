@@ -8,7 +8,8 @@ falls below the k-th score so far (a block whose bound equals it may hold a tie
 Queries and vectors meet in a grid of query chunks and vector parts, each of a bounded number of rows; a cell gives at
 most k rows a query, and the cells' results are merged by rank. Vectors that are null, or hold null or non-finite
 components, and rows without an id take no part; missing components count as zero; repeated rows are candidates each,
-but rows with the query's own id never are. Ties go to the smaller id.
+but rows with the query's own id never are, and of rows that repeat a query's id the smallest vector asks. Ties go to
+the smaller id.
 """
 
 from __future__ import annotations
@@ -117,7 +118,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: int, id_col: str
     blocks = rows.repartitionByRange(cells, "id").sortWithinPartitions("id").select("id", "v").mapInArrow(as_blocks, "ids binary, width long, vectors binary")
     # part by the place of the block, not by the task that made it
     blocks = stored(blocks).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).select("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "ids", "width", "vectors")
-    queries = rows.filter("query").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "chunk", "id", "v").withColumn("part", F.col("part").cast("long"))
+    asking = rows.filter("query").groupBy("id").agg(F.min("v").alias("v"))
+    queries = asking.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "chunk", "id", "v").withColumn("part", F.col("part").cast("long"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64),) * 3

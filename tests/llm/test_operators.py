@@ -98,6 +98,33 @@ def test_exact_dedup_and_append(spark):
     assert index.add(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_index_keeps_its_buckets(spark):
+    docs, path, before = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id) AS text"), common.scratch(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    index = exact_dedup.DigestIndex(spark, "digests_wide", path, 8)
+    assert index.add(docs).filter("kept").count() == 500
+    spark.sql("DROP TABLE digests_wide")  # as in another session, whose catalog doesn't know it
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = exact_dedup.DigestIndex(spark, "digests_again", path)
+        assert again.buckets == 8 and again.rows().count() == 500
+        assert again.add(docs.withColumn("doc_id", F.col("doc_id") + 1000)).filter("kept").count() == 0
+        assert again.rows().count() == 500
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, "digests_other", path, 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_batches_of_one_index(spark):
+    rows = [(5, "a b"), (1, "c"), (9, "a  b"), (7, "c"), (None, "c"), (None, "d"), (None, "d"), (3, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    early, late = exact_dedup.halves(docs)
+    assert 0 < early.count() < len(rows) and early.agg(F.max("doc_id")).first()[0] < late.agg(F.min("doc_id")).first()[0]
+    out = exact_dedup.dedup_in_batches(exact_dedup.DigestIndex(spark, "digests_batches", common.scratch(spark)), [early, late])
+    got = sorted(((x.id, x.keep_id, x.group_size, x.kept) for x in out.collect()), key=str)
+    assert got == sorted([(5, 3, 3, False), (9, 3, 3, False), (3, 3, 3, True), (1, 1, 3, True), (7, 1, 3, False), (None, 1, 3, False), (None, None, 2, True), (None, None, 2, True)], key=str)
+
+
 def test_prefix_counts():
     import sentencepiece
 
@@ -241,7 +268,7 @@ def test_quality_learns_and_covers_whole_texts(spark):
     texts = [good() if i % 2 else good().replace(" ", "%%% ") for i in range(240)]
     docs = docs_of(spark, [*texts, None, "", "x" * 100_000])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(240)] + [(1, None, 0)], "doc_id long, quality int, toxic int")
-    network = quality.train(quality.sample_texts(docs, labels, 200, 64))
+    network = quality.train(quality.sample_texts(docs, labels, 200))
     got = {x.id: x.score for x in quality.score(docs, network).collect()}
     assert len(got) == 243 and all(0 <= s <= 1 for s in got.values())
     assert np.mean([(got[i] >= 0.5) == i % 2 for i in range(240) if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.9
@@ -249,7 +276,7 @@ def test_quality_learns_and_covers_whole_texts(spark):
     x = np.frombuffer(("a" * 5000 + "%%%").encode(), np.uint8)
     starts = quality.chunk_starts(len(x))
     assert starts[0] == 0 and starts[-1] + quality.CHUNK >= len(x) and (np.diff(starts) == quality.STEP).all()
-    assert quality.train([]) is None and quality.score_batch(None, __import__("pyarrow").array(["a"]))[0] == 0.5
+    assert quality.train(quality.sample_texts(docs, labels.limit(0), 200)) is None and quality.score_batch(None, __import__("pyarrow").array(["a"]))[0] == 0.5
 
 
 def test_quality_sees_every_window():
@@ -307,6 +334,13 @@ def test_topk(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_topk_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.0]), *((i, [i / 10, 1.0]) for i in (1, 2, 3, 3))]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3, 64).collect()
+    want = sorted((-32 * int(np.floor(64 * v[0])), i) for i, v in rows if i)[:3]
+    assert sorted((x.rank, x.vec_id, x.score) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
 def test_join_grouped_keeps_hot_and_missing_keys_right(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 1)], "k int, x int")
     groups = spark.createDataFrame([(1, 50, "a"), (2, 1, "b")], "k int, size long, name string")
