@@ -23,7 +23,7 @@ def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network doesn't reject; it learns from the labels of ids that aren't held out."""
     labels = queries.table(spark, sf_dir, "labels")
-    network = quality.train(quality.sample_texts(docs, labels, queries.MAX_LABELLED, queries.MAX_CHUNKS))
+    network = quality.train(quality.sample_texts(docs, labels, queries.MAX_LABELLED))
     return docs if network is None else quality.keep_good(docs, network, queries.LEAST_QUALITY)
 
 
