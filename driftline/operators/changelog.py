@@ -7,7 +7,7 @@ of them for a total order within a key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,20 +17,49 @@ from ..schemas import AFTER, BEFORE, DELETE, INSERT, OP, WEIGHT
 
 @dataclass(frozen=True)
 class Relation:
-    """A DataFrame with its mode (append, changelog, keyed) and primary key; df is the escape hatch."""
+    """A DataFrame with its mode (append, changelog, keyed), primary key and order; df is the escape hatch.
+
+    The mode says what the ops mean: only inserts; all changes, each with the row before; or upserts and deletes.
+    """
 
     df: DataFrame
     mode: str = "append"
     key: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
 
     def select(self, *columns: Column | str) -> Relation:
-        return Relation(self.df.select(*columns, *([OP] if OP not in columns and "*" not in columns else [])), self.mode, self.key)
+        return replace(self, df=self.df.select(*columns, *([OP] if OP not in columns and "*" not in columns else [])))
 
     def where(self, condition: Column | str) -> Relation:
-        return Relation(self.df.filter(condition), self.mode, self.key)
+        return replace(self, df=self.df.filter(condition))
 
     def name(self, label: str) -> Relation:
-        return Relation(self.df.alias(label), self.mode, self.key)
+        """Named in plans; jobs that are started afterwards have the label as their description."""
+        self.df.sparkSession.sparkContext.setJobDescription(label)
+        return replace(self, df=self.df.alias(label))
+
+    def keyed_by(self, *key: str, order: Sequence[str]) -> Relation:
+        """Rows as upserts by a primary key, in an order."""
+        return replace(self, df=to_keyed(self.df), mode="keyed", key=tuple(key), order=tuple(order))
+
+    def changelog(self, suppress_equal: bool = False) -> Relation:
+        """As all changes; a relation without a key only has inserts, which are that already."""
+        if self.mode == "keyed":
+            return replace(self, df=to_changelog(self.df, self.key, self.order, suppress_equal), mode="changelog")
+        return replace(self, mode="changelog")
+
+    def keyed(self) -> Relation:
+        if not self.key:
+            raise ValueError("a keyed relation needs a primary key")
+        return replace(self, df=to_keyed(self.df), mode="keyed")
+
+    def append(self) -> Relation:
+        """Additions only, as inserts."""
+        return replace(self, df=to_append(self.df), mode="append", key=())
+
+    def snapshot(self) -> DataFrame:
+        """The rows that the changes lead to, all rows where there is no key."""
+        return materialize(self.df, self.key, self.order) if self.key else to_append(self.df).drop(OP)
 
 
 def from_rows(df: DataFrame, **columns: Column) -> Relation:
@@ -60,10 +89,17 @@ def to_keyed(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key. Rows are reduced before they are shuffled."""
-    rest = [c for c in df.columns if c not in key]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    """The last row of each key. Rows are reduced before they are shuffled; select the columns that are needed before."""
+    rest = [c for c in df.columns if c not in key and c not in order]
+    last = [F.col(c) for c in order if c not in key]
+    if rest:  # the order's columns are carried once
+        best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+        top = F.max(F.struct(*order)).alias("_order")
+        out = df.groupBy(*key).agg(best, top) if last else df.groupBy(*key).agg(best)
+    else:
+        out = df.groupBy(*key).agg(F.max(F.struct(*order)).alias("_order"))
+    place = lambda c: F.col(c) if c in key else F.col(f"_row.{c}" if c in rest else f"_order.{c}").alias(c)
+    return out.select(*map(place, df.columns))
 
 
 def materialize(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

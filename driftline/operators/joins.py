@@ -14,11 +14,21 @@ from .changelog import latest
 
 #: Estimated bytes up to which a side is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: How much larger than its files a relation may be that has been read and got some columns by joins.
+BOUND_FACTOR = 8
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if the optimizer's estimate of its size is within the limit."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, bound: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if its size is within the limit.
+
+    The size is the optimizer's estimate, which for joins is the product of their sides. bound: a relation that has at
+    least as many rows, such as the scan that df only filters or joins many to one; then its size times BOUND_FACTOR counts.
+    """
+    size = estimated_bytes(df) if bound is None else BOUND_FACTOR * estimated_bytes(bound)
     return F.broadcast(df) if size <= limit else df
 
 
@@ -53,14 +63,14 @@ def gate(df: DataFrame, ids: DataFrame, column: str, id_column: str, key: Sequen
     return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi")
 
 
-def risk_lines(batches: DataFrame, positions: DataFrame, issuers: DataFrame, uid: Sequence[str], issuer: str, lines: str, issuer_id: str, batch_order: Sequence[str] = (), position_order: Sequence[str] = ()) -> DataFrame:
-    """The latest batch and position of each uid, a row for each line of the batch, with the line's issuer; inner."""
+def risk_lines(batches: DataFrame, positions: DataFrame, issuers: DataFrame, uid: Sequence[str], issuer: str, lines: str, issuer_id: str, batch_order: Sequence[str] = (), position_order: Sequence[str] = (), issuer_bound: DataFrame | None = None) -> DataFrame:
+    """The latest batch and position of each uid, a row for each line of the batch, with the line's issuer; inner. issuer_bound: as in small()."""
     batches = latest(batches, uid, batch_order) if batch_order else batches
     positions = latest(positions, uid, position_order) if position_order else positions
     one = _merged(positions, batches, uid, "inner")
     kept = [c for c in one.columns if c != lines]
     exploded = one.select(*kept, F.posexplode(lines).alias("line", "_l")).select(*kept, "line", "_l.*")
-    return _merged(exploded, small(issuers.withColumnRenamed(issuer_id, issuer)), [issuer], "inner")
+    return _merged(exploded, small(issuers.withColumnRenamed(issuer_id, issuer), bound=issuer_bound), [issuer], "inner")
 
 
 def two_dimensions(facts: DataFrame, accounts: DataFrame, issuers: DataFrame, account: str, issuer: str) -> DataFrame:

@@ -82,7 +82,7 @@ LINES = f"{RISK}, {ISSUERS}, {POSITIONS}, lines AS (SELECT * FROM risk JOIN pos
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.many_to_one(joins.many_to_one(risk(spark, sf_dir), positions(spark, sf_dir), ["uid"]), joins.small(dimension(spark, sf_dir)), ["issuer"])
+    return joins.many_to_one(joins.many_to_one(risk(spark, sf_dir), positions(spark, sf_dir), ["uid"]), joins.small(dimension(spark, sf_dir), bound=table(spark, sf_dir, "supplier")), ["issuer"])
 
 
 @query("SELECT s_suppkey AS issuer_id, s_name AS issuer_name, s_acctbal AS balance FROM supplier")
@@ -127,13 +127,14 @@ LATEST_LINE = f"last AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTI
 
 @query(f"WITH {LATEST_LINE} SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM last")
 def latest_by_trade(spark, sf_dir):
-    return changelog.latest(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER).select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINE_ORDER)
+    return changelog.latest(rows, ["l_orderkey", "l_linenumber"], LINE_ORDER).select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
 
 
 @query(f"WITH {LATEST_LINE} SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, s_name, s_nationkey FROM last JOIN supplier ON l_suppkey = s_suppkey")
 def live_join_many_to_one(spark, sf_dir):
-    left = table(spark, sf_dir, "lineitem")
-    right = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
+    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINE_ORDER)
+    right = joins.small(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey"))
     return joins.many_to_one(left, right, ["l_suppkey"], ["l_orderkey", "l_linenumber"], LINE_ORDER).select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "s_name", "s_nationkey")
 
 
@@ -171,7 +172,7 @@ def risk_join_lines(spark, sf_dir):
     line = F.struct("issuer", "line", F.col("cr01").cast("double").alias("cr01"), F.col("jtd").cast("double").alias("jtd"))
     batches = risk(spark, sf_dir).groupBy("uid").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     nested = batches.withColumn("lines", F.transform("lines", lambda e: F.struct(e["issuer"].alias("issuer"), e["line"].alias("line_number"), e["cr01"].alias("cr01"), e["jtd"].alias("jtd"))))
-    out = joins.risk_lines(nested, positions(spark, sf_dir), dimension(spark, sf_dir), ["uid"], "issuer", "lines", "issuer")
+    out = joins.risk_lines(nested, positions(spark, sf_dir), dimension(spark, sf_dir), ["uid"], "issuer", "lines", "issuer", issuer_bound=table(spark, sf_dir, "supplier"))
     return out.select("uid", F.col("line_number").alias("line"), "issuer", "product", "strategy", "parent_name", "cr01", "jtd")
 
 

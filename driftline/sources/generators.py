@@ -42,15 +42,23 @@ def rolldown(i: Column, jtd: Column, today: str) -> Column:
     return F.array(F.struct(day.alias("Date"), jtd.alias("JTD")), F.struct(F.date_add(day, (97 * i % 20).cast("int")).alias("Date"), F.lit(0.0).alias("JTD")))
 
 
-def issuer_risk(spark: SparkSession, limit: int, issuers: int, today: str = "2020-01-01", audit: int = 0) -> DataFrame:
+def numbers(spark: SparkSession, limit: int, audit: int = 0, per_second: int | None = None) -> DataFrame:
+    """id from 0 below limit and audit; with per_second an endless stream that begins again after limit, audit being its count."""
+    if per_second is None:
+        return spark.range(limit).withColumn("audit", F.lit(audit).cast("long"))
+    rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rows.select((F.col("value") % limit).alias("id"), (F.col("value") + audit).alias("audit"))
+
+
+def issuer_risk(spark: SparkSession, limit: int, issuers: int, today: str = "2020-01-01", audit: int = 0, per_second: int | None = None) -> DataFrame:
     i = F.col("id")
-    return spark.range(limit).select(
+    return numbers(spark, limit, audit, per_second).select(
         uid_type(i, limit).alias("UIDType"), i.cast("string").alias("UID"), issuer_of(i, issuers).alias("SMCI"), F.lit(today.replace("-", "")).alias("BusinessDate"),
-        measure(i, 1e3, 1).alias("CR01"), measure(i, 1e6, 2).alias("JTD"), F.array().cast(ROLLDOWN).alias("JTDRolldown"), F.lit(audit).cast("long").alias("AuditDateTimeUTC"),
+        measure(i, 1e3, 1).alias("CR01"), measure(i, 1e6, 2).alias("JTD"), F.array().cast(ROLLDOWN).alias("JTDRolldown"), F.col("audit").alias("AuditDateTimeUTC"),
     )
 
 
-def batch_risk(spark: SparkSession, limit: int, issuers: int, today: str = "2020-01-01", audit: int = 0) -> DataFrame:
+def batch_risk(spark: SparkSession, limit: int, issuers: int, today: str = "2020-01-01", audit: int = 0, per_second: int | None = None) -> DataFrame:
     """One batch a position: of an index so many lines, else one."""
     i = F.col("id")
 
@@ -61,8 +69,8 @@ def batch_risk(spark: SparkSession, limit: int, issuers: int, today: str = "2020
 
     index = F.transform(F.sequence(F.lit(0), F.lit(INDEX_LINES - 1)), lambda n: line(n.cast("string"), n))
     single = F.array(line(issuer_of(i, issuers), F.lit(0)))
-    return spark.range(limit).select(
-        uid_type(i, limit).alias("UIDType"), i.cast("string").alias("UID"), F.lit(today.replace("-", "")).alias("BusinessDate"), F.lit(audit).cast("long").alias("AuditDateTimeUTC"),
+    return numbers(spark, limit, audit, per_second).select(
+        uid_type(i, limit).alias("UIDType"), i.cast("string").alias("UID"), F.lit(today.replace("-", "")).alias("BusinessDate"), F.col("audit").alias("AuditDateTimeUTC"),
         F.when(is_index(i, limit), index).otherwise(single).alias("risk"),
     )
 

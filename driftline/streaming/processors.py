@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.aggregates import Aggregation, Sum, of_each_set
 from ..schemas import AFTER, BEFORE, DELETE, INSERT, OP
 
 
@@ -24,8 +25,9 @@ def values_of(row: Row, columns: Sequence[str]) -> tuple:
     return tuple(row[c] for c in columns)
 
 
-def run(df: DataFrame, key: Sequence[str], processor: StatefulProcessor, schema: StructType, time_mode: str = "none") -> DataFrame:
-    return df.groupBy(*key).transformWithState(processor, schema, "update", time_mode)
+def run(df: DataFrame, key: Sequence[str], processor: StatefulProcessor, schema: StructType, timed: bool = False, mode: str = "update") -> DataFrame:
+    """timed: states expire or timers fire, which goes by processing time. mode: append, if another live operator follows."""
+    return df.groupBy(*key).transformWithState(processor, schema, mode, "processingTime" if timed else "none")
 
 
 def ordered(rows: Iterator[Row], order: Sequence[str]) -> list[Row]:
@@ -71,27 +73,35 @@ class Normalize(StatefulProcessor):
 def normalize(changes: DataFrame, key: Sequence[str], order: Sequence[str], suppress_equal: bool = False, ttl_ms: int | None = None) -> DataFrame:
     values = [c for c in changes.columns if c not in (*key, *order, OP)]
     schema = StructType([*struct_of(changes, [*key, *order]), StructField(OP, StringType()), *struct_of(changes, values)])
-    return run(changes, key, Normalize(list(key), list(order), values, struct_of(changes, values), suppress_equal, ttl_ms), schema)
+    return run(changes, key, Normalize(list(key), list(order), values, struct_of(changes, values), suppress_equal, ttl_ms), schema, ttl_ms is not None)
 
 
 class LiveJoin(StatefulProcessor):
     """All live left rows of a join key, by primary key, with the key's live right row.
 
     A micro-batch is applied as a whole, then the difference between the joined rows before and after it is emitted, so
-    nothing half-updated shows.
+    nothing half-updated shows. combine makes any number of rows of a left and a right one; without it their columns
+    stand side by side, and rows of equal number are updates of each other.
     """
 
-    def __init__(self, key, left_key, order, left, right, left_key_type, left_type, right_type, ttl_ms, outer=False):
-        self.key, self.left_key, self.order, self.left, self.right, self.types, self.ttl, self.outer = key, left_key, order, left, right, (left_key_type, left_type, right_type), ttl_ms, outer
+    def __init__(self, key, left_key, order, left, right, types, out, ttl_ms, outer, combine):
+        self.key, self.left_key, self.order, self.left, self.right, self.types, self.out, self.ttl, self.outer, self.combine = key, left_key, order, left, right, types, out, ttl_ms, outer, combine
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.lefts = handle.getMapState("left", self.types[0], self.types[1], self.ttl)
         self.rights = handle.getValueState("right", self.types[2], self.ttl)
 
+    def joined(self, left: tuple | None, right: tuple | None) -> list[tuple]:
+        if left is None or (right is None and not self.outer):
+            return []
+        right = right or (None,) * len(self.right)
+        return [tuple(x) for x in self.combine(left, right)] if self.combine else [(*left, *right)]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         right_before = tuple(self.rights.get()) if self.rights.exists() else None
         right_now, touched = right_before, {}
-        for row in ordered(rows, [*self.order, OP]):
+        # what goes at one place of the order goes before what comes there, so an update to an equal value keeps its row
+        for row in sorted(rows, key=lambda r: (*((r[c] is not None, r[c]) for c in self.order), r[OP] not in (DELETE, BEFORE))):
             gone = row[OP] in (DELETE, BEFORE)
             if row["tag"] == "right":
                 if not gone or row[OP] == DELETE:
@@ -114,37 +124,46 @@ class LiveJoin(StatefulProcessor):
         if right_now != right_before:
             for pk, now in self.lefts.iterator():
                 touched.setdefault(tuple(pk), (tuple(now), tuple(now)))
-        out, none = Row(*self.key, *self.left_key, OP, *self.left, *self.right), (None,) * len(self.right)
-
-        def joined(left, right):
-            return None if left is None or (right is None and not self.outer) else (*left, *(right or none))
-
+        out = Row(*self.key, *self.left_key, OP, *self.out)
         for pk, (left_before, left_now) in touched.items():
-            before, now = joined(left_before, right_before), joined(left_now, right_now)
+            before, now = self.joined(left_before, right_before), self.joined(left_now, right_now)
             if before == now:
                 continue
-            if before is not None:
-                yield out(*key, *pk, DELETE if now is None else BEFORE, *before)
-            if now is not None:
-                yield out(*key, *pk, INSERT if before is None else AFTER, *now)
+            paired = len(before) == len(now)
+            for row in before:
+                yield out(*key, *pk, BEFORE if paired else DELETE, *row)
+            for row in now:
+                yield out(*key, *pk, AFTER if paired else INSERT, *row)
 
     def close(self) -> None:
         pass
 
 
-def live_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_key: Sequence[str], order: Sequence[str], ttl_ms: int | None = None, outer: bool = False) -> DataFrame:
-    """Many to one on key (one to one if left_key is the key's own columns repeated under another name); both sides have op and order.
+def live_join(
+    left: DataFrame, right: DataFrame, key: Sequence[str], left_key: Sequence[str], order: Sequence[str], ttl_ms: int | None = None, outer: bool = False,
+    combine: Callable[[tuple, tuple], Sequence[tuple]] | None = None, result: str | None = None, mode: str = "update",
+) -> DataFrame:
+    """Many to one on key; both sides have op, and the order's columns unless a side needs none.
 
-    Left rows that change their join key must come as a full changelog, so that the old key sees the row go.
+    Left rows that change their join key must come as a full changelog, so that the old key sees the row go. combine:
+    from the values of a left and a right row to the rows of the schema result.
     """
     lefts = [c for c in left.columns if c not in (*key, *left_key, *order, OP)]
     rights = [c for c in right.columns if c not in (*key, *order, OP)]
     if shared := {*lefts, *left_key} & {*rights}:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
     both = left.withColumn("tag", F.lit("left")).unionByName(right.withColumn("tag", F.lit("right")), allowMissingColumns=True)
-    schema = StructType([*struct_of(left, [*key, *left_key]), StructField(OP, StringType()), *struct_of(left, lefts), *struct_of(right, rights)])
+    made = StructType.fromDDL(result) if combine else StructType([*struct_of(left, lefts), *struct_of(right, rights)])
+    schema = StructType([*struct_of(left, [*key, *left_key]), StructField(OP, StringType()), *made])
     types = struct_of(left, left_key), struct_of(left, lefts), struct_of(right, rights)
-    return run(both, key, LiveJoin(list(key), list(left_key), list(order), lefts, rights, *types, ttl_ms, outer), schema)
+    return run(both, key, LiveJoin(list(key), list(left_key), list(order), lefts, rights, types, made.names, ttl_ms, outer, combine), schema, ttl_ms is not None, mode)
+
+
+def live_one_to_one(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequence[str], ttl_ms: int | None = None, **options) -> DataFrame:
+    """The live rows of both sides that share a key; options as for live_join."""
+    own = [f"_own_{c}" for c in key]
+    out = live_join(left.withColumns({o: F.col(c) for o, c in zip(own, key, strict=True)}), right, key, own, order, ttl_ms, **options)
+    return out.drop(*own)
 
 
 class MultiLeft(StatefulProcessor):
@@ -194,66 +213,83 @@ def multi_left(relations: Sequence[DataFrame], key: Sequence[str], order: Sequen
         both = r if both is None else both.unionByName(r, allowMissingColumns=True)
     types = [struct_of(r, side) for r, side in zip(relations, sides, strict=True)]
     schema = StructType([*struct_of(relations[0], key), StructField(OP, StringType()), *[f for t in types for f in t]])
-    return run(both, key, MultiLeft(list(key), list(order), sides, types, accept or {}, ttl_ms), schema)
+    return run(both, key, MultiLeft(list(key), list(order), sides, types, accept or {}, ttl_ms), schema, ttl_ms is not None)
 
 
 class Gate(StatefulProcessor):
-    """Rows of an id pass once the id has been seen; of those before, the latest is released then."""
+    """Rows of an id pass once the id has been seen; of those before, the one that later() picks is released then."""
 
-    def __init__(self, key, order, columns, state, ttl_ms):
-        self.key, self.order, self.columns, self.state, self.ttl = key, order, columns, state, ttl_ms
+    def __init__(self, key, order, columns, state, later, ttl_ms):
+        self.key, self.order, self.columns, self.state, self.later, self.ttl = key, order, columns, state, later, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "open boolean", self.ttl)
         self.waiting = handle.getValueState("waiting", self.state, self.ttl)
 
+    def picked(self, held: tuple | None, new: tuple) -> tuple:
+        if held is None:
+            return new
+        one, other = (dict(zip(self.columns, x, strict=True)) for x in (held, new))
+        if self.later:
+            return new if self.later(one, other) else held
+        place = lambda x: tuple((x[c] is not None, x[c]) for c in self.order)
+        return new if place(other) >= place(one) else held
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows, out = list(rows), Row(*self.key, *self.columns)
-        was_open = self.open.exists()
-        held = ordered([r for r in rows if r["tag"] == "row"], self.order)
-        if was_open or any(r["tag"] == "id" for r in rows):
-            if not was_open:
-                self.open.update((True,))
-                if self.waiting.exists() and not held:
-                    yield out(*key, *tuple(self.waiting.get()))
-                self.waiting.clear()
-                held = held[-1:]
-            for row in held:
-                yield out(*key, *values_of(row, self.columns))
-        elif held:
-            self.waiting.update(values_of(held[-1], self.columns))
+        new = [values_of(r, self.columns) for r in ordered([r for r in rows if r["tag"] == "row"], self.order)]
+        if self.open.exists():
+            for row in new:
+                yield out(*key, *row)
+            return
+        held = tuple(self.waiting.get()) if self.waiting.exists() else None
+        for row in new:
+            held = self.picked(held, row)
+        if any(r["tag"] == "id" for r in rows):
+            self.open.update((True,))
+            self.waiting.clear()
+            if held is not None:
+                yield out(*key, *held)
+        elif new:
+            self.waiting.update(held)
 
     def close(self) -> None:
         pass
 
 
-def gate(df: DataFrame, ids: DataFrame, column: str, order: Sequence[str], ttl_ms: int | None = None) -> DataFrame:
-    """df's rows whose column is among the ids (a stream with that column)."""
+def gate(df: DataFrame, ids: DataFrame, column: str, order: Sequence[str], later: Callable[[dict, dict], bool] | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """df's rows whose column is among the ids (a stream with that column). later: whether the second row replaces the first while they wait."""
     columns = [c for c in df.columns if c != column]
     both = df.withColumn("tag", F.lit("row")).unionByName(ids.select(column).withColumn("tag", F.lit("id")), allowMissingColumns=True)
-    return run(both, [column], Gate([column], list(order), columns, struct_of(df, columns), ttl_ms), struct_of(df, [column, *columns]))
+    return run(both, [column], Gate([column], list(order), columns, struct_of(df, columns), later, ttl_ms), struct_of(df, [column, *columns]), ttl_ms is not None)
 
 
-class ThrottledSum(StatefulProcessor):
-    """Sums by key with retraction; a key's first change arms a timer, later ones coalesce, and the timer publishes."""
+class LiveAggregate(StatefulProcessor):
+    """Any aggregations by key with retraction, published as changes of the last published row.
 
-    def __init__(self, key, fields, interval_ms):
-        self.key, self.fields, self.interval = key, fields, interval_ms
+    Without an interval each micro-batch publishes. With one, a change of a key arms a timer unless one is armed; later
+    changes coalesce, and the timer publishes. A key whose rows are all retracted goes, state and all.
+    """
+
+    def __init__(self, key, order, aggs, state, results, interval_ms, ttl_ms):
+        self.key, self.order, self.aggs, self.state, self.results, self.interval, self.ttl = key, order, aggs, state, results, interval_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        doubles = ", ".join(f"`{c}` double" for c in self.fields)
         self.handle = handle
-        self.now = handle.getValueState("now", f"live long, {doubles}")
-        self.published = handle.getValueState("published", doubles)
-        self.armed = handle.getValueState("armed", "at long")
+        self.now = handle.getValueState("now", StructType([StructField("live", LongType()), *self.state]), self.ttl)
+        self.published = handle.getValueState("published", self.results, self.ttl)
+        self.armed = handle.getValueState("armed", "at long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        live, *sums = tuple(self.now.get()) if self.now.exists() else (0, *[0.0] * len(self.fields))
-        for row in rows:
-            w = -1 if row[OP] in (BEFORE, DELETE) else 1
-            live += w
-            sums = [s + w * (row[c] or 0.0) for s, c in zip(sums, self.fields, strict=True)]
-        self.now.update((live, *sums))
+        live, *values = tuple(self.now.get()) if self.now.exists() else (0, *[None] * len(self.aggs))
+        for row in ordered(rows, self.order):
+            retract = row[OP] in (BEFORE, DELETE)
+            live += -1 if retract else 1
+            values = [agg.init(row[c], retract) if old is None else agg.update(row[c], old, retract) for old, (c, agg) in zip(values, self.aggs.items(), strict=True)]
+        if live or not all(agg.nothing(x) for x, agg in zip(values, self.aggs.values(), strict=True)):
+            self.now.update((live, *values))
+        else:
+            self.now.clear()
         if not self.interval:
             yield from self.publish(key)
         elif not self.armed.exists():
@@ -266,11 +302,12 @@ class ThrottledSum(StatefulProcessor):
         yield from self.publish(key)
 
     def publish(self, key) -> Iterator[Row]:
-        live, *sums = tuple(self.now.get())
+        live, *values = tuple(self.now.get()) if self.now.exists() else (0,)
         old = tuple(self.published.get()) if self.published.exists() else None
-        new, out = tuple(sums) if live > 0 else None, Row(*self.key, OP, *self.fields)
+        new = tuple(agg.result(x) for x, agg in zip(values, self.aggs.values(), strict=True)) if live > 0 else None
         if old == new:
             return
+        out = Row(*self.key, OP, *self.aggs)
         if old is not None:
             yield out(*key, DELETE if new is None else BEFORE, *old)
         if new is None:
@@ -283,9 +320,25 @@ class ThrottledSum(StatefulProcessor):
         pass
 
 
-def throttled_sums(changes: DataFrame, key: Sequence[str], fields: Sequence[str], interval_ms: int = 0) -> DataFrame:
-    schema = StructType([*struct_of(changes, key), StructField(OP, StringType()), *struct_of(changes.select(*[F.col(c).cast("double") for c in fields]), fields)])
-    return run(changes, key, ThrottledSum(list(key), list(fields), interval_ms), schema, "processingTime" if interval_ms else "none")
+def live_aggregate(changes: DataFrame, key: Sequence[str], aggs: dict[str, tuple[str, Aggregation]], order: Sequence[str] = (), interval_ms: int = 0, ttl_ms: int | None = None) -> DataFrame:
+    """As aggregates.aggregate, live: key, op and one column for each output name of aggs (input column, aggregation)."""
+    if clash := {*aggs} & {*key, *order, OP}:
+        raise ValueError(f"output names are taken: {sorted(clash)}")
+    rows = changes.select(*key, *[c for c in order if c not in key], OP, *[agg.prepare(F.col(c)).alias(name) for name, (c, agg) in aggs.items()])
+    kept = {name: agg for name, (_, agg) in aggs.items()}
+    state = StructType([StructField(name, agg.state_type(rows.schema[name].dataType)) for name, agg in kept.items()])
+    results = StructType([StructField(name, agg.result_type(rows.schema[name].dataType)) for name, agg in kept.items()])
+    schema = StructType([*struct_of(rows, key), StructField(OP, StringType()), *results])
+    return run(rows, key, LiveAggregate(list(key), list(order), kept, state, results, interval_ms, ttl_ms), schema, bool(interval_ms) or ttl_ms is not None)
+
+
+def live_grouping_sets(changes: DataFrame, sets: Sequence[Sequence[str]], dims: Sequence[str], aggs: dict[str, tuple[str, Aggregation]], order: Sequence[str] = (), interval_ms: int = 0) -> DataFrame:
+    """As aggregates.grouping_sets_of_changes, live: dims and gset make the key."""
+    return live_aggregate(of_each_set(changes, sets, dims), [*dims, "gset"], aggs, order, interval_ms)
+
+
+def throttled_sums(changes: DataFrame, key: Sequence[str], fields: Sequence[str], interval_ms: int = 0, digits: int | None = None) -> DataFrame:
+    return live_aggregate(changes, key, {c: (c, Sum(digits)) for c in fields}, interval_ms=interval_ms)
 
 
 class BatchLines(StatefulProcessor):
@@ -332,10 +385,20 @@ class BatchLines(StatefulProcessor):
         pass
 
 
-def batch_lines(batches: DataFrame, positions: DataFrame, key: Sequence[str], order: Sequence[str], lines: str) -> DataFrame:
+def batch_lines(batches: DataFrame, positions: DataFrame, key: Sequence[str], order: Sequence[str], lines: str, mode: str = "update") -> DataFrame:
     """Line changes of batches (key, order, array of line structs whose first field is the issuer) and positions (key, order, columns)."""
     position = [c for c in positions.columns if c not in (*key, *order)]
     line = batches.schema[lines].dataType.elementType
     both = batches.select(*key, *order, F.col(lines).alias("lines"), F.lit("batch").alias("tag")).unionByName(positions.withColumn("tag", F.lit("position")), allowMissingColumns=True)
     schema = StructType([*struct_of(batches, key), *StructType.fromDDL(f"place int, {OP} string"), *struct_of(positions, position), *line])
-    return run(both, key, BatchLines(list(key), list(order), position, line.names, (struct_of(positions, position), line)), schema)
+    return run(both, key, BatchLines(list(key), list(order), position, line.names, (struct_of(positions, position), line)), schema, mode=mode)
+
+
+def live_risk_lines(batches: DataFrame, positions: DataFrame, issuers: DataFrame, key: Sequence[str], order: Sequence[str], lines: str, issuer: str) -> DataFrame:
+    """As joins.risk_lines, live: line changes joined with issuers (issuer, order, op and columns).
+
+    An update of an issuer gives changes of all its live lines: they are the state of that issuer's key, so no other
+    state is searched. To be written in append mode, as one live operator follows another.
+    """
+    held = batch_lines(batches, positions, key, order, lines, "append")
+    return live_join(held, issuers, [issuer], [*key, "place"], order, mode="append")

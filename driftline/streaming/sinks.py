@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.changelog import materialize
@@ -17,18 +18,30 @@ def to_console(df: DataFrame, name: str) -> StreamingQuery:
     return df.writeStream.format("console").queryName(name).outputMode("update").start()
 
 
+def print_rows(df: DataFrame, label: str, n: int = 20) -> None:
+    """The first rows of a batch relation, with a label."""
+    print(f"{label}:")
+    df.show(n, truncate=False)
+
+
+def counted(df: DataFrame, label: str, *more: Column) -> tuple[DataFrame, Observation]:
+    """df, and what is observed when it is read: rows and more; the batch form of RateLog."""
+    seen = Observation(label)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
+
+
 def to_memory(df: DataFrame, name: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     writer = df.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def to_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def to_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True, mode: str = "update") -> StreamingQuery:
     """Each micro-batch's rows as Parquet with their batch number; a batch that is repeated replaces itself."""
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    writer = df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
