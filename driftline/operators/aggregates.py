@@ -19,7 +19,7 @@ class Aggregation(Protocol):
     """An aggregate of one column that knows retraction: in batch by value and weight, in streams by init and update.
 
     prepare: what a stream gives init and update of each row. An accumulator has the state type of the prepared type,
-    is never None once it holds something, and result() makes the output of it.
+    is never None once it holds something, and result() makes the output of it. Structs are dicts everywhere.
     """
 
     def batch(self, value: Column, w: Column) -> Column: ...
@@ -39,11 +39,6 @@ class Aggregation(Protocol):
     def nothing(self, accumulator) -> bool: ...
 
 
-def fields(struct) -> tuple:
-    """Of a struct: rows of a stream hold them as dicts, states as rows."""
-    return tuple(struct.values() if isinstance(struct, dict) else struct)
-
-
 class Plain:
     """What most aggregations share: values as they are, the accumulator as the result, of the same type."""
 
@@ -114,14 +109,14 @@ class Last(Plain):
         return prepared["value"].dataType
 
     def init(self, value, retract: bool):
-        return None if retract else fields(value)
+        return None if retract else value
 
     def update(self, value, accumulator, retract: bool):
-        place = lambda x: tuple((y is not None, y) for y in fields(x)[1:])
-        return accumulator if retract or place(value) < place(accumulator) else fields(value)
+        place = lambda x: tuple((x[f"order_{i}"] is not None, x[f"order_{i}"]) for i in range(len(self.order)))
+        return accumulator if retract or place(value) < place(accumulator) else value
 
     def result(self, accumulator):
-        return None if accumulator is None else accumulator[0]
+        return None if accumulator is None else accumulator["value"]
 
     def nothing(self, accumulator) -> bool:
         return True
@@ -137,7 +132,7 @@ class Rolldown(Plain):
         self.unit = Decimal(1).scaleb(-digits)
 
     def steps(self, function: Sequence) -> dict:
-        final = {date: value for date, value in sorted(fields(x) for x in function or ())}  # the last value of a date counts
+        final = {date: value for date, value in sorted((x["Date"], x["JTD"]) for x in function or ())}  # the last value of a date counts
         values = [Decimal(repr(value)) for value in final.values()]
         return {date: (new - old).quantize(self.unit, ROUND_HALF_UP) for date, new, old in zip(final, values, [Decimal(0), *values[:-1]], strict=False)}
 
@@ -149,10 +144,10 @@ class Rolldown(Plain):
         for date, step in self.steps(value).items():
             total[date] = total.get(date, Decimal(0)) + (-step if retract else step)
         dates = sorted(total)
-        return [(date, float(x)) for date, x in zip(dates, itertools.accumulate(total[date] for date in dates), strict=True)]
+        return [{"Date": date, "JTD": float(x)} for date, x in zip(dates, itertools.accumulate(total[date] for date in dates), strict=True)]
 
     def nothing(self, accumulator) -> bool:
-        return not any(value for _, value in accumulator or ())
+        return not any(x["JTD"] for x in accumulator or ())
 
 
 def aggregate(changes: DataFrame, dims: Sequence[str], aggs: dict[str, tuple[str, Aggregation]] | Sequence[Column], keep_empty: bool = False) -> DataFrame:

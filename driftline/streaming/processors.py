@@ -11,13 +11,16 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from ..operators.aggregates import Aggregation, Sum, of_each_set
 from ..schemas import AFTER, BEFORE, DELETE, INSERT, OP
 
 
 def struct_of(df: DataFrame, columns: Sequence[str]) -> StructType:
+    """Of columns that are kept or emitted; Spark's Python states lose maps, so these are refused."""
+    if maps := [c for c in columns if isinstance(df.schema[c].dataType, MapType)]:
+        raise TypeError(f"maps can't be kept, use arrays of structs: {maps}")
     return StructType([StructField(c, df.schema[c].dataType, True) for c in columns])
 
 
@@ -25,6 +28,18 @@ def values_of(row: Row, columns: Sequence[str]) -> tuple:
     return tuple(row[c] for c in columns)
 
 
+def as_in_rows(value):
+    """A value of a state as input rows have it: nested structs as dicts."""
+    if isinstance(value, Row):
+        return {k: as_in_rows(v) for k, v in value.asDict().items()}
+    return [as_in_rows(v) for v in value] if isinstance(value, list) else value
+
+
+def held(state) -> tuple | None:
+    """What a value state holds."""
+    return tuple(map(as_in_rows, state.get())) if state.exists() else None
+
+
 def run(df: DataFrame, key: Sequence[str], processor: StatefulProcessor, schema: StructType, timed: bool = False, mode: str = "update") -> DataFrame:
     """timed: states expire or timers fire, which goes by processing time. mode: append, if another live operator follows."""
     return df.groupBy(*key).transformWithState(processor, schema, mode, "processingTime" if timed else "none")
@@ -44,7 +59,7 @@ class Normalize(StatefulProcessor):
         self.live = handle.getValueState("live", self.state, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = tuple(self.live.get()) if self.live.exists() else None
+        old = held(self.live)
         out = Row(*self.key, *self.order, OP, *self.columns)
         for row in ordered(rows, self.order):
             at, new = (*key, *values_of(row, self.order)), values_of(row, self.columns)
@@ -98,7 +113,7 @@ class LiveJoin(StatefulProcessor):
         return [tuple(x) for x in self.combine(left, right)] if self.combine else [(*left, *right)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        right_before = tuple(self.rights.get()) if self.rights.exists() else None
+        right_before = held(self.rights)
         right_now, touched = right_before, {}
         # what goes at one place of the order goes before what comes there, so an update to an equal value keeps its row
         for row in sorted(rows, key=lambda r: (*((r[c] is not None, r[c]) for c in self.order), r[OP] not in (DELETE, BEFORE))):
@@ -108,7 +123,7 @@ class LiveJoin(StatefulProcessor):
                     right_now = None if gone else values_of(row, self.right)
             else:
                 pk, value = values_of(row, self.left_key), values_of(row, self.left)
-                before, now = touched.get(pk) or ((tuple(self.lefts.getValue(pk)) if self.lefts.containsKey(pk) else None),) * 2
+                before, now = touched.get(pk) or ((tuple(map(as_in_rows, self.lefts.getValue(pk))) if self.lefts.containsKey(pk) else None),) * 2
                 # a row that goes by -U only goes if nothing newer replaced it
                 touched[pk] = (before, value if not gone else None if row[OP] == DELETE or now == value else now)
         for pk, (_, now) in touched.items():
@@ -123,7 +138,7 @@ class LiveJoin(StatefulProcessor):
             self.rights.update(right_now)
         if right_now != right_before:
             for pk, now in self.lefts.iterator():
-                touched.setdefault(tuple(pk), (tuple(now), tuple(now)))
+                touched.setdefault(tuple(pk), (tuple(map(as_in_rows, now)),) * 2)
         out = Row(*self.key, *self.left_key, OP, *self.out)
         for pk, (left_before, left_now) in touched.items():
             before, now = self.joined(left_before, right_before), self.joined(left_now, right_now)
@@ -176,7 +191,7 @@ class MultiLeft(StatefulProcessor):
         self.states = [handle.getValueState(f"side{i}", t, self.ttl) for i, t in enumerate(self.types)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = [tuple(s.get()) if s.exists() else None for s in self.states]
+        before = [held(s) for s in self.states]
         now = list(before)
         for row in ordered(rows, self.order):
             i = int(row["tag"])
@@ -226,14 +241,14 @@ class Gate(StatefulProcessor):
         self.open = handle.getValueState("open", "open boolean", self.ttl)
         self.waiting = handle.getValueState("waiting", self.state, self.ttl)
 
-    def picked(self, held: tuple | None, new: tuple) -> tuple:
-        if held is None:
+    def picked(self, kept: tuple | None, new: tuple) -> tuple:
+        if kept is None:
             return new
-        one, other = (dict(zip(self.columns, x, strict=True)) for x in (held, new))
+        one, other = (dict(zip(self.columns, x, strict=True)) for x in (kept, new))
         if self.later:
-            return new if self.later(one, other) else held
+            return new if self.later(one, other) else kept
         place = lambda x: tuple((x[c] is not None, x[c]) for c in self.order)
-        return new if place(other) >= place(one) else held
+        return new if place(other) >= place(one) else kept
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows, out = list(rows), Row(*self.key, *self.columns)
@@ -242,16 +257,16 @@ class Gate(StatefulProcessor):
             for row in new:
                 yield out(*key, *row)
             return
-        held = tuple(self.waiting.get()) if self.waiting.exists() else None
+        kept = held(self.waiting)
         for row in new:
-            held = self.picked(held, row)
+            kept = self.picked(kept, row)
         if any(r["tag"] == "id" for r in rows):
             self.open.update((True,))
             self.waiting.clear()
-            if held is not None:
-                yield out(*key, *held)
+            if kept is not None:
+                yield out(*key, *kept)
         elif new:
-            self.waiting.update(held)
+            self.waiting.update(kept)
 
     def close(self) -> None:
         pass
@@ -281,7 +296,7 @@ class LiveAggregate(StatefulProcessor):
         self.armed = handle.getValueState("armed", "at long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        live, *values = tuple(self.now.get()) if self.now.exists() else (0, *[None] * len(self.aggs))
+        live, *values = held(self.now) or (0, *[None] * len(self.aggs))
         for row in ordered(rows, self.order):
             retract = row[OP] in (BEFORE, DELETE)
             live += -1 if retract else 1
@@ -302,8 +317,8 @@ class LiveAggregate(StatefulProcessor):
         yield from self.publish(key)
 
     def publish(self, key) -> Iterator[Row]:
-        live, *values = tuple(self.now.get()) if self.now.exists() else (0,)
-        old = tuple(self.published.get()) if self.published.exists() else None
+        live, *values = held(self.now) or (0,)
+        old = held(self.published)
         new = tuple(agg.result(x) for x, agg in zip(values, self.aggs.values(), strict=True)) if live > 0 else None
         if old == new:
             return
@@ -352,8 +367,8 @@ class BatchLines(StatefulProcessor):
         self.lines = handle.getMapState("lines", "place int", self.types[1])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        position_before = tuple(self.positions.get()) if self.positions.exists() else None
-        before = {tuple(k)[0]: tuple(v) for k, v in self.lines.iterator()}
+        position_before = held(self.positions)
+        before = {tuple(k)[0]: tuple(map(as_in_rows, v)) for k, v in self.lines.iterator()}
         position, lines = position_before, before
         for row in ordered(rows, self.order):
             if row["tag"] == "position":

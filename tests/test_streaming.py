@@ -262,6 +262,17 @@ def test_issuer_updates_reach_their_lines(spark, tmp_path, parts):
         assert got.filter("name = 'two' AND op = '-U'").count() == got.filter("name = 'two again' AND op = '+U'").count() == 1
 
 
+def test_nested_values_are_compared_and_kept(spark, tmp_path):
+    schema = "k int, seq int, op string, line struct<issuer:string,steps:array<struct<Date:date,JTD:double>>>"
+    day = __import__("datetime").date(2020, 1, 1)
+    one, two = ("IBM", [(day, 1.0)]), ("IBM", [(day, 2.0)])
+    rows = spark.createDataFrame([(1, 0, "+U", one), (1, 1, "+U", one), (1, 2, "+U", two), (1, 3, "+U", two)], schema)
+    got = changes_of(processors.normalize(feed(spark, tmp_path / "in", rows, 4), ["k"], ["seq"], suppress_equal=True), tmp_path)
+    assert sorted((r.seq, r.op, r.line.steps[0].JTD) for r in got.collect()) == [(0, "+I", 1.0), (2, "+U", 2.0), (2, "-U", 1.0)]
+    with pytest.raises(TypeError):
+        processors.normalize(rows.withColumn("limits", F.create_map(F.lit("JTD"), F.lit(5.0))), ["k"], ["seq"])
+
+
 def test_types_of_one_uid_stay_apart(spark, tmp_path):
     rows = spark.createDataFrame([("UIPID", "1", 0, "+U", 5.0), ("UITID", "1", 1, "+U", 7.0), ("UIPID", "1", 2, "+U", 6.0)], "type string, uid string, seq int, op string, v double")
     got = changes_of(processors.normalize(feed(spark, tmp_path / "in", rows, 3), ["type", "uid"], ["seq"]), tmp_path)
