@@ -32,8 +32,10 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: No file has more records, so that one file fits a task's memory.
-FILE_RECORDS = 8000
+#: Payload bytes of a file, about: it has as many records as such payloads have on average, so that it fits a task's memory.
+FILE_BYTES = 32 << 20
+#: About what a record takes besides its payload.
+RECORD_BYTES = 600
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -151,8 +153,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
             out.append(to_warc(values, body, record_id(n, values["URL"]), None if to is None else record_id(to, "")))
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    path = scratch(pages.sparkSession)
-    map_slices(both, work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    path, (n, size) = scratch(pages.sparkSession), pages.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
+    records = max(1, FILE_BYTES * n // max(size or 0, n * RECORD_BYTES, 1))
+    map_slices(both, work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
     return path
 
 

@@ -172,6 +172,32 @@ def test_bpe_round_trip(spark):
     assert bpe.Codec(path, pattern).decode(bpe.Codec(path, pattern).encode("é")[:4]) in "é".encode()
 
 
+def best_fit(lengths, capacity):
+    """Sequences of best fit decreasing, one piece after another."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit(seed):
+    r = random.Random(seed)
+    lengths = r.choices(range(1, 200), [1 + 50 * (i % 31 == seed) for i in range(199)], k=700)
+    counts = collections.Counter(lengths)
+    plan, filled = packing.Plan(counts, 200), collections.defaultdict(list)
+    for length, n in counts.items():
+        for sequence, offset in zip(*plan.place(np.full(n, length), np.arange(n)), strict=True):
+            filled[sequence].append((offset, length))
+    assert len(filled) == best_fit(lengths, 200)
+    for own in filled.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)])]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 200
+
+
 def test_packing_words_and_plan(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     words = packing.Words(path)
@@ -194,13 +220,7 @@ def test_packing_words_and_plan(spark):
         for r in own:
             assert r.start == 16 * r.piece and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
         assert sum(r.length for r in own) == len(ids) // 4
-    gaps = []
-    for length in sorted((r.length for r in rows), reverse=True):  # best fit decreasing
-        fit = min((g for g in gaps if g >= length), default=None)
-        if fit is not None:
-            gaps.remove(fit)
-        gaps.append((16 if fit is None else fit) - length)
-    assert len(bins) == len(gaps)
+    assert len(bins) == best_fit([r.length for r in rows], 16)
     assert packing.pack_documents(docs_of(spark, texts).limit(0), path, 16, 0).count() == 0
 
 
@@ -227,6 +247,65 @@ def test_pii():
         assert base["ip"] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
 
 
+def test_pii_cards_and_phones_as_plain_patterns():
+    import re
+
+    def luhn(digits):
+        total = 0
+        for i, d in enumerate(reversed(digits)):
+            d = int(d) * (2 if i % 2 else 1)
+            total += d - 9 if d > 9 else d
+        return total % 10 == 0
+
+    card, phone, r = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), random.Random(5)
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    seen = collections.Counter()
+    for _ in range(6000):
+        t = "".join(r.choices("0123456789 -+().x", [9] * 10 + [4, 4, 2, 1, 1, 1, 1], k=60))
+        base = pii.base_spans(t)
+        assert base["card"] == [m.span() for m in card.finditer(t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+        assert base["phone"] == [m.span() for m in phone.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+        seen.update({k: len(v) for k, v in base.items()})
+    assert seen["card"] > 100 and seen["phone"] > 100
+
+
+def test_pii_disguises_map_back_to_the_source():
+    """Identifiers whose characters are disguised one by one, in odd surroundings: the added span is where they stand."""
+    alike = collections.defaultdict(list)
+    for other, plain in pii.LOOKALIKES.items():
+        if plain.isalnum():
+            alike[plain].append(other)
+    names, r = "zero one two three four five six seven eight nine".split(), random.Random(9)
+    plain = {"email": ["jane.doe@mail.example.com", "x_1@a-b.org"], "ip": ["192.168.10.1", "8.8.4.4"], "phone": ["+44 20 7946 0958", "+1 555 123 4567"], "card": ["4111 1111 1111 1111", "5500-0000-0000-0004"]}
+    seen = 0
+    for _ in range(400):
+        kind = r.choice(list(plain))
+        found = r.choice(plain[kind])
+        how = r.choice(["alike", "invisible", "words"] if kind != "ip" else ["alike", "invisible", "dots"])
+        if how == "alike":
+            at = r.choice([i for i, c in enumerate(found) if c in alike])
+            found = found[:at] + r.choice(alike[found[at]]) + found[at + 1 :]
+        elif how == "invisible":
+            at = r.randrange(1, len(found))
+            found = found[:at] + r.choice("\u200b\u00ad\u2060") + found[at:]
+        elif kind == "email":
+            local, _, host = found.partition("@")
+            found = local + r.choice([" at ", " (at) ", "[at]"]) + host.replace(".", r.choice([" dot ", "[.]", " (dot) "]))
+        elif how == "dots":
+            found = found.replace(".", r.choice([" dot ", "[.]", "(dot)"]))
+        else:
+            found = " ".join(names[int(c)] if c.isdigit() else c for c in found if c.isdigit() or c == "+").replace("+ ", "+")
+        before, after = r.choice([("", ""), ("see <", ">"), ("é\U0001f642 ", "!"), ("\n", "\n"), ("[", "]")])
+        text = before + found + after
+        base = pii.base_spans(text)
+        if base[kind]:  # a part of it that is one by itself, and stays
+            continue
+        seen += 1
+        spans = {(k, a, b) for k, own in pii.added_spans(text, base).items() for a, b in own}
+        assert (kind, len(before), len(before) + len(found)) in spans, (text, spans)
+    assert seen > 200
+
+
 def added_pii(text):
     return pii.as_text(pii.added_spans(text, pii.base_spans(text)))
 
@@ -287,6 +366,91 @@ def test_quality_sees_every_window():
     assert len(scores) == 300 and all(np.allclose(f, found[0], atol=1e-5) for f in found)
 
 
+def test_score_as_window_by_window():
+    """The network's score against a plain one: each window of each chunk by itself."""
+    network, r = quality.Network(3), random.Random(4)
+    network.weights["out"][:] = np.random.default_rng(5).normal(0, 1, len(network.weights["out"]))
+    network.weights["bias"][:] = np.random.default_rng(6).normal(0, 0.3, len(network.weights["bias"]))
+    texts = ["", "a", "é日" * 5, *("".join(r.choices("abc %é日", k=n)) for n in (7, 8, 9, 255, 256, 257, 700, 3000))]
+    w, want = network.weights, []
+    for text in texts:
+        data = text.encode()
+        features = []
+        for start in range(0, max(1, len(data) - quality.WIDTH), quality.STEP):
+            chunk = data[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = np.full(quality.FILTERS, -np.inf)
+            for at in range(quality.CHUNK - quality.WIDTH + 1):
+                window = w["bytes"][list(chunk[at : at + quality.WIDTH])].ravel()
+                best = np.maximum(best, window @ w["filters"] + w["bias"])
+            features.append(np.maximum(best, 0))
+        logit = np.concatenate([np.mean(features, 0), np.max(features, 0)]) @ w["out"] + w["base"][0]
+        want.append(1 / (1 + np.exp(-logit)))
+    assert np.allclose(quality.score_batch(network, __import__("pyarrow").array(texts)), want, atol=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    network, r = quality.Network(3), random.Random(4)
+    network.weights["out"][:] = np.random.default_rng(5).normal(0, 1, len(network.weights["out"]))
+    texts, labels = [b"", *("".join(r.choices("abc %", k=n)).encode() for n in (9, 300, 2000, 90_000))], np.array([1, 0, 1, 0, 1], np.float32)
+    found = network.gradients(texts, labels)
+
+    def loss():
+        p = quality.score_batch(network, __import__("pyarrow").array([t.decode() for t in texts]))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for name in ("out", "bias", "base"):
+        for i in (0, len(network.weights[name]) - 1):
+            before = network.weights[name][i]
+            network.weights[name][i] = before + 2e-3
+            high = loss()
+            network.weights[name][i] = before - 2e-3
+            low = loss()
+            network.weights[name][i] = before
+            assert abs((high - low) / 4e-3 - found[name][i]) < 2e-2 * max(1, abs(found[name][i])), (name, i)
+
+
+def plain_reputation(hosts, outcomes):
+    """host -> (mean, upper bound), level by level: the beta-binomial shrinkage in plain Python."""
+    def levels(host):
+        labels = host.split(".")
+        two = ".".join(labels[-2:])
+        return (".".join(labels[-3:]), two) if two in url_filter.DOUBLE_SUFFIXES else (two, labels[-1])
+
+    def fit(groups):  # name -> (n, k, parent)
+        used = [(n, k, p) for n, k, p in groups.values() if n]
+        seen, least = sum(n * (k / n - p) ** 2 for n, k, p in used), sum(p * (1 - p) for _, _, p in used)
+        room = sum(p * (1 - p) * (n - 1) for n, _, p in used)
+        spread = max(0.0, (seen - least) / room) if room else 0.0
+        strength = min(1000.0, max(1.0, 1 / spread - 1)) if spread else 1000.0
+        return {g: (strength * p + k, strength * (1 - p) + n - k) for g, (n, k, p) in groups.items()}
+
+    counts = {h: (sum(1 for x, _ in outcomes if x == h), sum(y for x, y in outcomes if x == h)) for h in hosts}
+    total = [sum(c[i] for c in counts.values()) for i in (0, 1)]
+    above = {"": (total[1] + 1) / (total[0] + 2)}
+    for level in (lambda h: (levels(h)[1], ""), lambda h: levels(h), lambda h: (h, levels(h)[0])):
+        groups = {}
+        for h, (n, k) in counts.items():
+            own, parent = level(h)
+            old = groups.get(own, (0, 0, above[parent]))
+            groups[own] = (old[0] + n, old[1] + k, above[parent])
+        fitted = fit(groups)
+        above = {g: a / (a + b) for g, (a, b) in fitted.items()}
+    return {h: (a / (a + b), min(1.0, a / (a + b) + 1.645 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)) for h, (a, b) in fitted.items()}
+
+
+def test_reputation_as_in_plain_python_decides_pages(spark):
+    """Hosts whose outcomes differ: posteriors equal the plain ones, and they decide pages, also of hosts without outcomes."""
+    r = random.Random(7)
+    rates = {"good.org": 0.95, "www.good.org": 0.9, "spam.net": 0.05, "x.spam.net": 0.1, "mixed.co.uk": 0.5, "a.mixed.co.uk": 0.6, "rare.com": 0.7}
+    rows = [(i, h, int(r.random() < p) if i % 3 else None) for i, (h, p) in enumerate(x for x in rates.items() for _ in range(60))] + [(1000, "new.spam.net", None), (1001, "other.spam.net", None), (1002, "new.good.org", None)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h, _ in rows], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, y) for i, _, y in rows], "id long, good int")
+    want = plain_reputation({h for _, h, _ in rows}, [(h, y) for _, h, y in rows if y is not None])
+    for x in url_filter.filter_urls(pages, outcomes, []).collect():
+        assert abs(x.reputation - want[x.host][0]) < 1e-9 and x.verdict == ("block" if want[x.host][1] < 0.5 else "allow")
+    assert {h for h, (_, upper) in want.items() if upper < 0.5} >= {"spam.net", "x.spam.net"} and want["good.org"][1] > 0.9 and want["new.spam.net"][0] < 0.5
+
+
 def test_url_filter(spark):
     rows = [(1, "HTTP://WWW.Example.com/en/x?q"), (2, "http://a.example.com/en/"), (3, "http://b.net/es/1#f"), (4, None), (5, "nothing"), (6, "http://bad.org/x"), (7, "http://a.com"), (8, "http://good.org/y/?z")]
     rows += [(100 + i, f"http://bad.org/{i}") for i in range(40)] + [(200 + i, f"http://good.org/{i}") for i in range(40)]
@@ -321,6 +485,17 @@ def test_archives(spark):
     assert archives.row_id(archives.record_id(-5, "u")) == -5 and archives.row_id(archives.record_id(None, "u")) is None
 
 
+def test_files_of_archives_are_bounded_by_bytes(spark, monkeypatch):
+    import pathlib
+
+    monkeypatch.setattr(archives, "FILE_BYTES", 100_000)
+    pages = spark.range(200).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('<p>', id), 1000) AS html").coalesce(1)
+    path = archives.write_archives(pages)
+    files = list(pathlib.Path(path.removeprefix("file:")).glob("*.gz"))
+    assert len(files) >= 8 and max(len(gzip.decompress(f.read_bytes())) for f in files) < 200_000
+    assert archives.read_archives(spark, path).count() == 200
+
+
 def test_topk(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(120)] + [(i, [1.0] * 8) for i in range(120, 140)] + [(140, None), (141, [1.0, None]), (142, [float("nan")] * 8)]
@@ -345,3 +520,58 @@ def test_join_grouped_keeps_hot_and_missing_keys_right(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 1)], "k int, x int")
     groups = spark.createDataFrame([(1, 50, "a"), (2, 1, "b")], "k int, size long, name string")
     assert common.join_grouped(left, groups, "k", "size", 52).count() == 51
+
+
+def read_back(spark, folder, name, query):
+    """The query's rows over tables in the folder, written and read as the driver does."""
+    out = query(spark, str(folder))
+    out.write.parquet(path := str(folder / f"out-{name}"))
+    return spark.read.parquet(path)
+
+
+LONG = "Some words of a long text, page after page. " * 50_000
+ODD_ROWS = [(None, None), (None, ""), (1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, "One  two three four five six"), (5, LONG), (6, LONG + "end"), (7, "x" * 300_000), (8, "mail jo@example.com or 10.0.0.1"), (3, "another text of the same id")]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Folders of empty tables, and of tables with nulls, repeated rows, very long texts and columns with clashing names."""
+    names = {c: F.lit(i) for i, c in enumerate(("id", "n", "length", "digest", "rank", "shard", "key", "size", "host", "path", "score", "node", "component", "kept", "sha1", "first", "place", "unnamed"))}
+    made = {
+        "documents": spark.createDataFrame([(i, t, "en", "web", None if t is None else len(t)) for i, t in ODD_ROWS], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(1, 1, 0), (3, 0, 0), (3, 0, 0), (5, 1, None), (None, 1, 0), (8, None, 1)], "doc_id long, quality int, toxic int"),
+        "pages": spark.createDataFrame([(None, None, None), (1, "http://a.com/x", "<p>é</p>"), (1, "http://a.com/x", "<p>é</p>"), (2, "nothing", None), (3, "HTTP://B.NET/es/", LONG), (None, "http://a.com", LONG)], "page_id long, url string, html string"),
+        "embeddings": spark.createDataFrame([(None, [1.0]), (0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, None), (21, [0.5, None]), (40, []), (41, [3.0, float("inf")]), (5, [1.0, 1.0])], "vec_id long, embedding array<double>"),
+    }
+    folders = [tmp_path_factory.mktemp(x) for x in ("empty", "odd")]
+    for name, df in made.items():
+        df.limit(0).write.parquet(str(folders[0] / f"{name}.parquet"))
+        df.withColumns({c: v for c, v in names.items() if c not in df.columns}).write.parquet(str(folders[1] / f"{name}.parquet"))
+    return folders
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_queries_of_empty_and_odd_tables(spark, tables, name):
+    empty, odd = tables
+    assert read_back(spark, empty, name, queries.QUERIES[name]).count() == 0
+    rows = read_back(spark, odd, name, queries.QUERIES[name]).collect()
+    n = int(name[2:].split("_")[0])
+    if n in (1, 9):
+        assert len(rows) == 6 and sorted(str(r.page_id) for r in rows) == ["1", "1", "2", "3", "None", "None"]
+    elif n == 7:
+        assert {(r.query_id, r["rank"], r.vec_id) for r in rows} == {(0, 1, 5), (0, 2, 40), (40, 1, 0), (40, 2, 0), (40, 3, 5)}
+    elif n == 5:
+        assert sorted(str(r.doc_id) for r in rows if r.piece == 0) == sorted(str(i) for i, _ in ODD_ROWS)
+        filled = collections.Counter()
+        for r in rows:
+            filled[r.sequence_id] += r.length
+        assert max(filled.values()) <= 2048 and len(filled) == best_fit([r.length for r in rows], 2048)
+    else:
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in ODD_ROWS)
+    if n == 2:
+        assert {(r.n_email, r.n_ip, r.spans) for r in rows if r.doc_id == 8} == {(1, 1, "email:5:19,ip:23:31")}
+    if n == 4:
+        assert {(r.doc_id, r.component_id) for r in rows if r.doc_id in (4, 5, 6)} == {(4, 3), (5, 5), (6, 5)}
+    if n == 6:
+        sizes = collections.Counter(__import__("re").sub("[\x20\x09-\x0d]+", " ", t or "") for _, t in ODD_ROWS)
+        assert sorted(r.group_size for r in rows) == sorted(sizes[__import__("re").sub("[\x20\x09-\x0d]+", " ", t or "")] for _, t in ODD_ROWS)
