@@ -76,12 +76,19 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def with_small_offsets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts and binaries with offsets of 32 bits, which the operators read, whatever the session's Arrow settings are."""
+    kinds = {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}
+    columns = [c.cast(kinds[c.type]) if c.type in kinds else c for c in batch.columns]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow in slices of at most SLICE_ROWS rows and about SLICE_BYTES, so that a worker holds few Python objects at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(with_small_offsets(batch)):
                 out = work(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out

@@ -142,7 +142,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
 
 def score_batch(network: Network | None, texts: pa.Array) -> np.ndarray:
     """Probabilities of texts; every chunk of each counts."""
-    if network is None:
+    if network is None or not len(texts):
         return np.full(len(texts), 0.5)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)

@@ -25,7 +25,7 @@ from .common import stored
 
 BLOCK_ROWS = 512
 PART_ROWS = 32_768
-CHUNK_ROWS = 1024
+CHUNK_ROWS = 4096
 
 
 def integer_vector(v: Column, scale: int) -> Column:

@@ -550,6 +550,18 @@ def tables(spark, tmp_path_factory):
     return folders
 
 
+def test_large_offsets_of_arrow(spark, tables):
+    docs, before = spark.read.parquet(str(tables[1] / "documents.parquet")), "spark.sql.execution.arrow.useLargeVarTypes"
+    count = lambda: sorted((x.n_tokens, x.n_bytes) for x in queries.op8_token_counts(spark, str(tables[1])).collect())
+    shingles = lambda: sorted((x.text_key, x.n) for x in hyperminhash.sketches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").toDF("id", "text_key", "text"), 5).collect())
+    small = count(), shingles()
+    spark.conf.set(before, "true")
+    try:
+        assert (count(), shingles()) == small
+    finally:
+        spark.conf.set(before, "false")
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_queries_of_empty_and_odd_tables(spark, tables, name):
     empty, odd = tables
