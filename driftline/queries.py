@@ -82,7 +82,8 @@ LINES = f"{RISK}, {ISSUERS}, {POSITIONS}, lines AS (SELECT * FROM risk JOIN pos
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.many_to_one(joins.many_to_one(risk(spark, sf_dir), positions(spark, sf_dir), ["uid"]), joins.small(dimension(spark, sf_dir), bound=table(spark, sf_dir, "supplier")), ["issuer"])
+    held = joins.small(positions(spark, sf_dir), bound=table(spark, sf_dir, "orders"))
+    return joins.many_to_one(joins.many_to_one(risk(spark, sf_dir), held, ["uid"]), joins.small(dimension(spark, sf_dir), bound=table(spark, sf_dir, "supplier")), ["issuer"])
 
 
 @query("SELECT s_suppkey AS issuer_id, s_name AS issuer_name, s_acctbal AS balance FROM supplier")
