@@ -25,6 +25,8 @@ STEP = CHUNK - WIDTH
 #: Chunks that are worked on at a time.
 BLOCK = 256
 HELD_OUT_OF, HELD_OUT = 4, 2
+#: Bytes of texts that training takes from Spark at a time; and of a text, about, which decides how many tasks gather them.
+PART_BYTES, TEXT_BYTES = 16 << 20, 32 << 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,16 +109,19 @@ class Network:
 def train(sample: DataFrame, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network | None:
     """sample: doc_id, data (bytes) and quality of each text, stored. Adam, with the rate falling to zero.
 
-    Each epoch reads the sample again in another order, so the driver holds but a batch of texts and what Spark sends at once.
+    Each epoch reads the sample again in another order, in parts of about PART_BYTES, so the driver holds but a part of it.
     """
-    n, good = sample.agg(F.count(F.lit(1)), F.sum("quality")).first()
+    n, good, size = sample.agg(F.count(F.lit(1)), F.sum("quality"), F.sum(F.octet_length("data"))).first()
     if not n:
         return None
+    parts = size // PART_BYTES + 1
     network, share, step, steps = Network(seed), np.clip(good / n, 0.01, 0.99), 0, epochs * -(-n // batch)
     network.weights["base"][:] = np.log(share / (1 - share))
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.weights.items()}
     for epoch in range(epochs):
-        rows = sample.orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit(epoch)), "doc_id").toLocalIterator()
+        order = F.xxhash64("doc_id", F.lit(seed), F.lit(epoch))
+        mixed = sample.repartition(parts, F.pmod(order, F.lit(parts))) if parts > 1 else sample.coalesce(1)
+        rows = mixed.sortWithinPartitions(order, "doc_id").toLocalIterator()
         while own := list(itertools.islice(rows, batch)):
             found = network.gradients([bytes(x.data) for x in own], np.array([x.quality for x in own], np.float32))
             step += 1
@@ -137,7 +142,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     one = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    return stored(rows.groupBy("doc_id").agg(F.min("text").cast("binary").alias("data"), F.first("quality").alias("quality")))
+    return stored(rows.groupBy("doc_id").agg(F.min("text").cast("binary").alias("data"), F.first("quality").alias("quality")), max_rows, TEXT_BYTES)
 
 
 def score_batch(network: Network | None, texts: pa.Array) -> np.ndarray:
