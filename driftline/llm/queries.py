@@ -23,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled outcome of a page is the quality label of its id."""
+    """The labelled outcome of a page is the quality label of its id: the tables have no labels of pages.
+
+    Documents and pages of one id are mostly unrelated, so here hosts' posteriors stay near the overall rate and block
+    next to nothing by themselves; where outcomes differ by host they decide pages.
+    """
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).withColumnRenamed("id", "page_id")
 

@@ -12,6 +12,7 @@ tables give empty results; outcomes that are null count as absent; repeated rows
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,12 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def site_levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix."""
+def site_levels(host: Column, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix; suffixes have one label, but for the given ones of two."""
     labels = F.split(host, r"\.")
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    double = two.isin(*DOUBLE_SUFFIXES)
+    double = two.isin(*double_suffixes)
     return F.when(double, three).otherwise(two), F.when(double, two).otherwise(F.element_at(labels, -1))
 
 
@@ -63,11 +64,11 @@ def shrunk(groups: DataFrame) -> DataFrame:
     return groups.withColumn("alpha", strength * F.col("parent") + F.col("k")).withColumn("beta", strength * (1 - F.col("parent")) + F.col("n") - F.col("k"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> DataFrame:
     """host, pages (its number), n, k, mean, lower, upper for every host of pages (host) given outcomes (host, good)."""
     counted = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(counted, "host", "left").fillna(0, ["n", "k"])
-    domain, suffix = site_levels(F.col("host"))
+    domain, suffix = site_levels(F.col("host"), double_suffixes)
     hosts = stored(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     top = ((total.k or 0) + 1) / ((total.n or 0) + 2)
@@ -84,12 +85,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float) -> DataFram
     return judged.select("host", "pages", "n", "k", mean.alias("mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("lower"), F.least(F.lit(1.0), mean + z * sd).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], least_rate: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], least_rate: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> DataFrame:
     """id, host, path, rule, verdict and reputation (posterior mean of a good page) for each row of pages; outcomes: id, good."""
     host, path = url_parts(F.col(url_col))
     judged = stored(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")))
     labelled = judged.join(outcomes.select("id", "good"), "id").select("host", "good")
-    hosts = stored(host_reputation(judged, labelled, z))
+    hosts = stored(host_reputation(judged, labelled, z, double_suffixes))
     joined = join_grouped(judged, hosts.select("host", "pages", "mean", "upper"), "host", "pages", judged.count())
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("upper") < least_rate, "block").otherwise("allow"))

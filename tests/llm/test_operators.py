@@ -59,6 +59,33 @@ def test_near_duplicates(spark, k):
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_groups(texts, k, 80)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_of_a_large_family(spark, k):
+    """1500 versions of two texts that are themselves alike: many pairs just above and below the threshold."""
+    r = random.Random(k)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
+    other = [w if r.random() < 0.93 else w + "x" for w in words]
+    texts = []
+    for i in range(1500):
+        own = list(r.choice([words, words, other]))
+        for _ in range(int(r.expovariate(0.15))):
+            own[r.randrange(len(own))] = r.choice(words) + r.choice(["", "y", str(r.randrange(40))])
+        texts.append(" ".join(own))
+    sets = [set(zip(*[t.split()[j:] for j in range(k)], strict=False)) for t in texts]
+    number = {x: i for i, x in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        m[i, [number[x] for x in own]] = 1
+    shared, n = m @ m.T, m.sum(1)
+    linked = 100 * shared >= 80 * (n[:, None] + n[None] - shared)
+    group, before = np.arange(len(sets)), None
+    while before is None or (group != before).any():
+        before, group = group, np.where(linked, group[None], len(sets)).min(1)
+    got = hyperminhash.near_duplicates(docs_of(spark, texts, extra=False), k, 80).collect()
+    assert {x.id: (x.n_shingles, x.component_id) for x in got} == {i: (len(own), group[i]) for i, own in enumerate(sets)}
+    assert 1 < len(set(group.tolist())) < 1400
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     r = random.Random(8)
     a, b, c, d = (["".join(r.choices("abcdefgh", k=6)) for _ in range(60)] for _ in range(4))
