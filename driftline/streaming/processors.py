@@ -359,12 +359,12 @@ def throttled_sums(changes: DataFrame, key: Sequence[str], fields: Sequence[str]
 class BatchLines(StatefulProcessor):
     """The latest batch and position of a uid as live lines, by issuer and place in the batch."""
 
-    def __init__(self, key, order, position, line, types):
-        self.key, self.order, self.position, self.line, self.types = key, order, position, line, types
+    def __init__(self, key, order, position, line, types, ttl_ms):
+        self.key, self.order, self.position, self.line, self.types, self.ttl = key, order, position, line, types, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.positions = handle.getValueState("position", self.types[0])
-        self.lines = handle.getMapState("lines", "place int", self.types[1])
+        self.positions = handle.getValueState("position", self.types[0], self.ttl)
+        self.lines = handle.getMapState("lines", "place int", self.types[1], self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         position_before = held(self.positions)
@@ -400,13 +400,13 @@ class BatchLines(StatefulProcessor):
         pass
 
 
-def batch_lines(batches: DataFrame, positions: DataFrame, key: Sequence[str], order: Sequence[str], lines: str, mode: str = "update") -> DataFrame:
+def batch_lines(batches: DataFrame, positions: DataFrame, key: Sequence[str], order: Sequence[str], lines: str, ttl_ms: int | None = None, mode: str = "update") -> DataFrame:
     """Line changes of batches (key, order, array of line structs whose first field is the issuer) and positions (key, order, columns)."""
     position = [c for c in positions.columns if c not in (*key, *order)]
     line = batches.schema[lines].dataType.elementType
     both = batches.select(*key, *order, F.col(lines).alias("lines"), F.lit("batch").alias("tag")).unionByName(positions.withColumn("tag", F.lit("position")), allowMissingColumns=True)
     schema = StructType([*struct_of(batches, key), *StructType.fromDDL(f"place int, {OP} string"), *struct_of(positions, position), *line])
-    return run(both, key, BatchLines(list(key), list(order), position, line.names, (struct_of(positions, position), line)), schema, mode=mode)
+    return run(both, key, BatchLines(list(key), list(order), position, line.names, (struct_of(positions, position), line), ttl_ms), schema, ttl_ms is not None, mode)
 
 
 def live_risk_lines(batches: DataFrame, positions: DataFrame, issuers: DataFrame, key: Sequence[str], order: Sequence[str], lines: str, issuer: str) -> DataFrame:
@@ -415,5 +415,5 @@ def live_risk_lines(batches: DataFrame, positions: DataFrame, issuers: DataFrame
     An update of an issuer gives changes of all its live lines: they are the state of that issuer's key, so no other
     state is searched. To be written in append mode, as one live operator follows another.
     """
-    held = batch_lines(batches, positions, key, order, lines, "append")
+    held = batch_lines(batches, positions, key, order, lines, mode="append")
     return live_join(held, issuers, [issuer], [*key, "place"], order, mode="append")
