@@ -59,14 +59,13 @@ def test_near_duplicates(spark, k):
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_groups(texts, k, 80)
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_of_a_large_family(spark, k):
-    """1500 versions of two texts that are themselves alike: many pairs just above and below the threshold."""
+def test_near_duplicates_of_a_large_family(spark, k=2):
+    """1200 versions of two texts that are themselves alike: many pairs just above and below the threshold."""
     r = random.Random(k)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
     other = [w if r.random() < 0.93 else w + "x" for w in words]
     texts = []
-    for i in range(1500):
+    for _ in range(1200):
         own = list(r.choice([words, words, other]))
         for _ in range(int(r.expovariate(0.15))):
             own[r.randrange(len(own))] = r.choice(words) + r.choice(["", "y", str(r.randrange(40))])
@@ -83,7 +82,7 @@ def test_near_duplicates_of_a_large_family(spark, k):
         before, group = group, np.where(linked, group[None], len(sets)).min(1)
     got = hyperminhash.near_duplicates(docs_of(spark, texts, extra=False), k, 80).collect()
     assert {x.id: (x.n_shingles, x.component_id) for x in got} == {i: (len(own), group[i]) for i, own in enumerate(sets)}
-    assert 1 < len(set(group.tolist())) < 1400
+    assert 1 < len(set(group.tolist())) < 1100
 
 
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
