@@ -61,6 +61,7 @@ class Part:
     def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]]):
         self.width = max((m.shape[1] for _, m in blocks), default=0)
         self.blocks = [(ids, widened(m, self.width)) for ids, m in sorted(blocks, key=lambda b: b[0][0])]
+        self.scored = 0  # blocks that were scored, counted once for each query
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query, vector id and score of each query's k best here."""
@@ -80,6 +81,7 @@ class Part:
                 break
             for b in np.unique(block_of):
                 rows, (ids, vectors) = alive[block_of == b], blocks[b]
+                self.scored += len(rows)
                 own = products(queries[rows], vectors)
                 own[ids[None, :] == query_ids[rows, None]] = none
                 all_scores, all_ids = np.concatenate([scores[rows], own], 1), np.concatenate([found[rows], np.broadcast_to(ids, own.shape)], 1)

@@ -535,6 +535,24 @@ def test_topk(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_topk_prunes_blocks():
+    """Where blocks hold vectors of their own kind, most are never scored; where all are alike, all are; both exactly."""
+    r, k = np.random.default_rng(8), 10
+    centres = r.normal(size=(30, 16)) * 200
+    for spread, least, most in ((20, 0, 0.3), (2000, 0.9, 1)):
+        blocks = [(np.arange(100 * i, 100 * i + 100), (c + r.normal(size=(100, 16)) * spread).astype(np.int64)) for i, c in enumerate(centres)]
+        ids, vectors = np.concatenate([i for i, _ in blocks]), np.concatenate([m for _, m in blocks])
+        part, asked = topk.Part(blocks), np.arange(0, 3000, 20)
+        found = list(zip(*(x.tolist() for x in part.search(asked, vectors[asked], k)), strict=True))
+        want = []
+        for q in asked:
+            scores = vectors @ vectors[q]
+            best = [c for c in np.lexsort((ids, -scores)) if c != q][:k]
+            want += [(q, c, scores[c]) for c in best]
+        assert sorted(found) == sorted(want)
+        assert least <= part.scored / (len(asked) * len(blocks)) <= most
+
+
 def test_topk_of_repeated_rows(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.0]), *((i, [i / 10, 1.0]) for i in (1, 2, 3, 3))]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3, 64).collect()
