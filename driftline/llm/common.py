@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +35,29 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/driftline-{uuid.uuid4().hex}"
 
 
+_writers, _lock = {}, threading.Lock()
+
+
+@contextlib.contextmanager
+def settings_while_stored(spark: SparkSession) -> Iterator[None]:
+    """WHILE_STORED holds in the session until the last of its threads that store tables is done."""
+    with _lock:
+        count, before = _writers.get(id(spark), (0, None))
+        _writers[id(spark)] = count + 1, before or {key: spark.conf.get(key) for key in WHILE_STORED}
+        for key, value in WHILE_STORED.items():
+            spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writers.pop(id(spark))
+            if count > 1:
+                _writers[id(spark)] = count - 1, before
+            else:
+                for key, value in before.items():
+                    spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, rows: int | None = None, row_bytes: int = 40) -> DataFrame:
     """df written to shared storage and read again: later jobs neither repeat its work nor depend on executors that did it.
 
@@ -42,14 +67,8 @@ def stored(df: DataFrame, rows: int | None = None, row_bytes: int = 40) -> DataF
     spark, path = df.sparkSession, scratch(df.sparkSession)
     if rows is not None:
         df = df.coalesce(rows * row_bytes // TASK_BYTES + 1)
-    before = {key: spark.conf.get(key) for key in WHILE_STORED}
-    for key, value in WHILE_STORED.items():
-        spark.conf.set(key, value)
-    try:
+    with settings_while_stored(spark):
         df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -560,6 +560,20 @@ def test_topk_of_repeated_rows(spark):
     assert sorted((x.rank, x.vec_id, x.score) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
 
 
+def test_settings_last_as_long_as_tables_are_stored(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with common.settings_while_stored(spark):
+        with common.settings_while_stored(spark):
+            assert spark.conf.get(key) == common.WHILE_STORED[key]
+        assert spark.conf.get(key) == common.WHILE_STORED[key]
+    assert spark.conf.get(key) == before
+    table = common.stored(spark.range(10), 10)
+    assert spark.conf.get(key) == before and table.count() == 10
+    common.release(table)
+    assert not __import__("os").path.exists(table.stored_at.removeprefix("file:"))
+
+
 def test_join_grouped_keeps_hot_and_missing_keys_right(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 1)], "k int, x int")
     groups = spark.createDataFrame([(1, 50, "a"), (2, 1, "b")], "k int, size long, name string")
